@@ -288,7 +288,11 @@ def top_k_with_empty(spark, sf):
     q = _probe_questions(e)
     hits = retrieve.cosine_top_k(e, q, k=3, id_col="vec_id", vec_col="embedding",
                                  qid_col="qid", qvec_col="qvec", dim=EMBEDDINGS_DIM)
-    return retrieve.top_k_with_empty(q, hits)
+    per_q = retrieve.top_k_with_empty(q, hits)
+    return per_q.groupBy("qid").agg(
+        F.count("id").cast("bigint").alias("n_hits"),
+        F.coalesce(F.expr("listagg(CAST(id AS STRING), ',') WITHIN GROUP (ORDER BY rank)"),
+                   F.lit("")).alias("hit_ids"))
 
 
 @query
