@@ -43,7 +43,12 @@ def decode_entities(c: Column) -> Column:
 
 
 def main_text(html) -> Column:
-    c = container(strip_inert(html))
+    return main_text_of_inert(strip_inert(html))
+
+
+def main_text_of_inert(h) -> Column:
+    """Steps 2-6 on markup already stripped of comments, scripts, styles."""
+    c = container(col_of(h))
     for tag in rx.HTML_DROPPED_BLOCKS:
         c = F.regexp_replace(c, rx.block_pattern(tag), " ")
     c = F.regexp_replace(c, rx.HTML_TAG, " ")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbpipe.functions.text import py_strip
+from kbpipe.operators.common import computed
 
 
 def _sql_str(s: str) -> str:
@@ -39,7 +40,7 @@ def join_elements(elements: DataFrame, key: str, order: str, text: str = "text",
     agg = e.groupBy(key).agg(_ordered(text, sep, order).alias("text"))
     out = agg.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
     if strip:
-        out = out.withColumn("text", py_strip("text"))
+        out = computed(out, text=py_strip("text"))
     if not keep_empty:
         out = out.where(F.col("text") != "")
     return out
@@ -66,7 +67,7 @@ def assemble_cells(cells: DataFrame) -> DataFrame:
     rows = c.groupBy("doc_id", "sheet_no", "row_no").agg(
         _ordered("value", " ", "col_no").alias("row_text"))
     docs = rows.groupBy("doc_id").agg(_ordered("row_text", " ", "sheet_no", "row_no").alias("text"))
-    return docs.withColumn("text", py_strip("text")).where(F.col("text") != "")
+    return computed(docs, text=py_strip("text")).where(F.col("text") != "")
 
 
 def upload_status(filename="filename"):

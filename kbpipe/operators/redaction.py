@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kbpipe.functions import redact as R
 from kbpipe.functions import regexes as rx
+from kbpipe.operators.common import computed, explode_rows
 
 
 def with_stages(df: DataFrame, col: str, prefix: str = "_r_") -> DataFrame:
@@ -41,10 +42,10 @@ def redact(df: DataFrame, col: str = "text", out: str | None = None,
     out = out or col
     p = "_r_"
     df = with_stages(df, col, p)
-    df = df.withColumn(out, R.sweep_names(f"{p}s", f"{p}names"))
+    cols = {out: R.sweep_names(f"{p}s", f"{p}names")}
     if names_out:
-        df = df.withColumn(names_out, F.col(f"{p}names"))
-    return df.drop(f"{p}s", f"{p}names")
+        cols[names_out] = F.col(f"{p}names")
+    return computed(df, **cols).drop(f"{p}s", f"{p}names")
 
 
 def redact_with_names(df: DataFrame, col: str, names_col: str,
@@ -56,8 +57,7 @@ def redact_with_names(df: DataFrame, col: str, names_col: str,
     df = with_stages(df, col, p)
     all_names = R.sort_names(F.concat(F.coalesce(F.col(names_col), F.array().cast("array<string>")),
                                       F.col(f"{p}names")))
-    df = df.withColumn(out, R.sweep_names(f"{p}s", all_names))
-    return df.drop(f"{p}s", f"{p}names")
+    return computed(df, **{out: R.sweep_names(f"{p}s", all_names)}).drop(f"{p}s", f"{p}names")
 
 
 def stage_columns(df: DataFrame, col: str = "text") -> DataFrame:
@@ -73,7 +73,7 @@ def stage_columns(df: DataFrame, col: str = "text") -> DataFrame:
 def discovered_names(df: DataFrame, id_col: str, col: str = "text") -> DataFrame:
     """One row per (document, discovered name)."""
     staged = with_stages(df.select(id_col, col), col, "_d_")
-    return staged.select(id_col, F.explode("_d_names").alias("name"))
+    return explode_rows(staged, F.col("_d_names"), None, "name", id_col)
 
 
 _TOKENS = {

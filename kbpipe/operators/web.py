@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kbpipe.functions import html as H
 from kbpipe.functions import urls as U
 from kbpipe.functions.text import col_of
+from kbpipe.operators.common import computed, explode_rows
 
 # Document suffixes and the legacy placeholder text
 DOC_SUFFIXES = (".pdf", ".doc", ".docx", ".xls", ".xlsx")
@@ -67,10 +68,16 @@ def legacy_placeholder(url="url"):
     return F.concat(F.lit(LEGACY_TEXT), col_of(url))
 
 
+def main_text_rows(pages: DataFrame, *keep: str, html: str = "html") -> DataFrame:
+    """``(*keep, text)`` for pages with a content container (others dropped)."""
+    x = computed(pages.select(*keep, html), _inert=H.strip_inert(html))
+    x = computed(x.drop(html), text=H.main_text_of_inert("_inert")).drop("_inert")
+    return x.where(F.col("text").isNotNull())
+
+
 def html_records(pages: DataFrame) -> DataFrame:
     """``(type='html', url, text)`` for html pages with a container."""
-    return (pages.select(F.lit("html").alias("type"), "url", H.main_text("html").alias("text"))
-                 .where(F.col("text").isNotNull()))
+    return main_text_rows(pages, "url").select(F.lit("html").alias("type"), "url", "text")
 
 
 def crawl_records(fetched: DataFrame, decoded_text: DataFrame | None = None) -> DataFrame:
@@ -83,9 +90,8 @@ def crawl_records(fetched: DataFrame, decoded_text: DataFrame | None = None) ->
     p = with_format(page_scan(fetched))
     doc = F.col("fmt") != "html"
     p = p.where(~doc | guard_ok("content"))
-    html = (p.where(~doc).select("page_id", F.lit("html").alias("type"), "url",
-                                 H.main_text("html").alias("text"))
-             .where(F.col("text").isNotNull()))
+    html = main_text_rows(p.where(~doc), "page_id", "url").select(
+        "page_id", F.lit("html").alias("type"), "url", "text")
     legacy = p.where(F.col("fmt") == "legacy").select(
         "page_id", F.lit("document").alias("type"), "url", legacy_placeholder().alias("text"))
     out = html.unionByName(legacy)
@@ -100,10 +106,9 @@ def crawl_records(fetched: DataFrame, decoded_text: DataFrame | None = None) ->
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``(page_id, link_no, link)``: every anchor href resolved against the
     page URL, in document order, duplicates kept."""
-    x = pages.select("page_id", F.col(url).alias("base"),
-                     F.posexplode(H.hrefs(html)).alias("link_no", "href"))
-    return x.select("page_id", F.col("link_no").cast("bigint").alias("link_no"),
-                    U.join_url("base", "href").alias("link"), "base")
+    x = explode_rows(pages.withColumn("base", F.col(url)), H.hrefs(html), "link_no", "href",
+                     "page_id", "base")
+    return computed(x, link=U.join_url("base", "href")).select("page_id", "link_no", "link", "base")
 
 
 def same_site(links: DataFrame, base: str = "base") -> DataFrame:

@@ -21,6 +21,7 @@ from kbpipe.operators import metrics as M
 from kbpipe.operators import questions as Q
 from kbpipe.operators import redaction, retrieve
 from kbpipe.operators import web as Wb
+from kbpipe.operators.common import explode_rows
 from kbpipe.plans.answer import answer_questions
 from kbpipe.plans.ingest import knowledge_points
 from kbpipe.session import scratch_path, spread
@@ -87,9 +88,7 @@ def crawl_records(spark, sf):
 
 @query
 def html_main_text(spark, sf):
-    p = spread(Tables(spark, sf).pages)
-    return (p.select("page_id", H.main_text("html").alias("text"))
-             .where(F.col("text").isNotNull()))
+    return Wb.main_text_rows(spread(Tables(spark, sf).pages), "page_id")
 
 
 @query
@@ -255,7 +254,7 @@ def chunk_counts(spark, sf):
 def embed_text(spark, sf):
     d = spread(Tables(spark, sf).documents)
     e = d.select("doc_id", hashed_embedding("text", DEFAULT_DIM).alias("v"))
-    x = e.select("doc_id", F.posexplode("v").alias("bucket", "w")).where(F.col("w") != 0)
+    x = explode_rows(e, F.col("v"), "bucket", "w", "doc_id").where(F.col("w") != 0)
     return x.select("doc_id", F.col("bucket").cast("bigint").alias("bucket"),
                     F.round(F.col("w").cast("double"), 6).alias("weight"))
 
@@ -371,8 +370,7 @@ def transcripts(spark, sf):
 @query
 def ingest_counts(spark, sf):
     t = Tables(spark, sf)
-    pages = t.pages.select(F.lit("web_scraped").alias("type"), H.main_text("html").alias("text")) \
-                   .where(F.col("text").isNotNull())
+    pages = Wb.main_text_rows(spread(t.pages)).select(F.lit("web_scraped").alias("type"), "text")
     chunks = C.indexable(C.chunk_documents(spread(t.documents.select("doc_id", "text")), "text",
                                            redact_first=True)) \
               .select(F.lit("pdf_upload").alias("type"), F.col("chunk").alias("text"))
