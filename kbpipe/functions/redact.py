@@ -11,15 +11,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kbpipe.functions import regexes as rx
-from kbpipe.functions.text import col_of, normalise_ws
+from kbpipe.functions.text import col_of, guarded, normalise_ws
 
 
 def redact_email(c) -> Column:
-    return F.regexp_replace(col_of(c), rx.EMAIL, rx.EMAIL_TOKEN)
+    return guarded(col_of(c), "@", lambda x: F.regexp_replace(x, rx.EMAIL, rx.EMAIL_TOKEN))
 
 
 def redact_phone(c) -> Column:
-    return F.regexp_replace(col_of(c), rx.PHONE, rx.PHONE_TOKEN)
+    return guarded(col_of(c), ("0", "+44"), lambda x: F.regexp_replace(x, rx.PHONE, rx.PHONE_TOKEN))
 
 
 def redact_health_id(c) -> Column:
@@ -36,12 +36,16 @@ def redact_tokens(c) -> Column:
 
 
 def context_rule(c, i: int) -> Column:
-    return F.regexp_replace(col_of(c), rx.CONTEXT_NAME_RULES[i], rx.CONTEXT_REPLACEMENT)
+    return guarded(col_of(c), rx.CONTEXT_KEYWORDS[i],
+                   lambda x: F.regexp_replace(x, rx.CONTEXT_NAME_RULES[i], rx.CONTEXT_REPLACEMENT))
 
 
 def context_names(c, i: int) -> Column:
     """Names rule ``i`` would replace in ``c`` (its second group)."""
-    return F.regexp_extract_all(col_of(c), F.lit(rx.CONTEXT_NAME_RULES[i]), 2)
+    c = col_of(c)
+    found = F.regexp_extract_all(c, F.lit(rx.CONTEXT_NAME_RULES[i]), 2)
+    return F.when(c.contains(rx.CONTEXT_KEYWORDS[i]), found) \
+            .otherwise(F.when(c.isNotNull(), F.array().cast("array<string>")))
 
 
 def sort_names(names) -> Column:

@@ -49,6 +49,8 @@ CONTEXT_NAME_RULES = [
     rf"(Dr\.{S}*)([A-Z][a-z]+)",
 ]
 CONTEXT_REPLACEMENT = "$1" + NAME_TOKEN
+# literal each context rule needs (used to skip the regex when absent)
+CONTEXT_KEYWORDS = ["Subject:", "Coordinator:", "Kin Contact:", "Dr."]
 
 # whitespace normalisation before redaction
 NEWLINE_RUN = rf"{S}*\n{S}*"

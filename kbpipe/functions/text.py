@@ -28,5 +28,17 @@ def normalise_ws(c) -> Column:
     """Redaction stage 1: NBSP -> space, runs holding a newline -> one space,
     space runs -> one space. No strip; tabs away from newlines survive."""
     c = F.translate(col_of(c), "\u00a0", " ")
-    c = F.regexp_replace(c, rx.NEWLINE_RUN, " ")
-    return F.regexp_replace(c, rx.SPACE_RUN, " ")
+    c = guarded(c, "\n", lambda x: F.regexp_replace(x, rx.NEWLINE_RUN, " "))
+    return guarded(c, "  ", lambda x: F.regexp_replace(x, rx.SPACE_RUN, " "))
+
+
+def guarded(c: Column, needle: str | tuple, fn) -> Column:
+    """``fn(c)`` only where ``c`` contains a literal the rule cannot match
+    without (exact: elsewhere ``fn`` would return ``c`` unchanged). A
+    substring test is far cheaper than a regex pass over a long text."""
+    needles = (needle,) if isinstance(needle, str) else needle
+    cond = None
+    for n in needles:
+        t = c.contains(n)
+        cond = t if cond is None else (cond | t)
+    return F.when(cond, fn(c)).otherwise(c)
