@@ -245,7 +245,7 @@ UNION ALL
 SELECT page_id, 'document' AS type, url, {LEGACY} AS text FROM ok WHERE fmt = 'legacy'"""
     o["html_main_text"] = (f"SELECT page_id, text FROM (SELECT page_id, {main_text('html')} AS text "
                            f"FROM pages) WHERE text IS NOT NULL")
-    o["collapse_whitespace"] = f"SELECT doc_id, trim({rr('text', S + '+', ' ')}) AS text FROM documents"
+    o["collapse_ws"] = f"SELECT doc_id, trim({rr('text', S + '+', ' ')}) AS text FROM documents"
     o["url_rewrite"] = f"""
 SELECT id, url, CASE WHEN contains(url, 'github.com') AND contains(url, '/blob/')
                      THEN replace(replace(url, 'github.com', 'raw.githubusercontent.com'), '/blob/', '/')
@@ -407,8 +407,14 @@ SELECT event_type, strftime(we, '{TS}') AS exported_at, CAST(n AS BIGINT) AS n_e
        CAST(sum(n) OVER (PARTITION BY event_type ORDER BY we ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
             AS BIGINT) AS cumulative
 FROM p"""
-    o["backup_restore"] = (f"SELECT 'note://' || CAST(note_id AS VARCHAR) AS source, _red AS text, "
+    o["restore_backup"] = (f"SELECT 'note://' || CAST(note_id AS VARCHAR) AS source, _red AS text, "
                            f"'true' AS restored FROM {redacted(CASE_NOTES)}")
+    crawled = sub(f"SELECT url, text FROM (SELECT url, {main_text('html')} AS text FROM pages) "
+                  f"WHERE text IS NOT NULL")
+    o["backup_json"] = f"SELECT url, _red AS text, 'web_scraped' AS type FROM {redacted(crawled)}"
+    o["request_alert_stream"] = (f"SELECT * FROM ({o['request_alert']}) WHERE window_end <= "
+                                 f"strftime((SELECT max(ts) FROM events) - INTERVAL 5 MINUTE, '{TS}')")
+    o["ingest_stream"] = f"SELECT text, source, type, CAST({DIM} AS BIGINT) AS n_dims FROM {POINTS}"
     return o
 
 

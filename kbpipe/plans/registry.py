@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kbpipe.functions import html as H
 from kbpipe.functions import redact as R
 from kbpipe.functions.embed import DEFAULT_DIM, hashed_embedding
-from kbpipe.functions.text import collapse_ws
+from kbpipe.functions import text as TX
 from kbpipe.operators import assemble as A
 from kbpipe.operators import chunk as C
 from kbpipe.operators import metrics as M
@@ -92,9 +92,9 @@ def html_main_text(spark, sf):
 
 
 @query
-def collapse_whitespace(spark, sf):
+def collapse_ws(spark, sf):
     d = spread(Tables(spark, sf).documents)
-    return d.select("doc_id", collapse_ws("text").alias("text"))
+    return d.select("doc_id", TX.collapse_ws("text").alias("text"))
 
 
 @query
@@ -400,13 +400,60 @@ def counter_export(spark, sf):
 
 # ------------------------------------------------------------ backup, restore
 
-@query
-def backup_restore(spark, sf):
-    """Redacted case notes through the JSON sink and back."""
+def _note_backup(spark, sf) -> str:
+    """Redacted case notes written through the JSON sink; returns the folder."""
     n = Fixtures(spark, sf).case_notes()
     red = redaction.redact(spread(n), "text").withColumn(
         "url", F.concat(F.lit("note://"), F.col("note_id").cast("string")))
     folder = scratch_path(spark, "backup")
     backup.write_backup(red, folder, RUN_ID, url="url", text="text")
-    r = backup.restore_backup(spark, folder)
+    return folder
+
+
+@query
+def backup_json(spark, sf):
+    """Crawled pages, redacted, through the JSON sink (tagged web_scraped);
+    the files read back as plain JSON Lines with a fixed schema."""
+    pages = Wb.html_records(spread(Tables(spark, sf).pages))
+    red = redaction.redact(pages, "text")
+    folder = scratch_path(spark, "crawl-backup")
+    backup.write_backup(red, folder, RUN_ID, url="url", text="text", record_type="web_scraped")
+    return spark.read.schema("url string, text string, type string").json(f"{folder}/batch=*/")
+
+
+@query
+def restore_backup(spark, sf):
+    """Redacted case notes through the JSON sink and the restore source."""
+    r = backup.restore_backup(spark, _note_backup(spark, sf))
     return r.select("source", "text", "restored")
+
+
+# ------------------------------------------------------------------ streaming
+
+@query
+def request_alert_stream(spark, sf):
+    """The sliding request alert as a Structured Streaming job over the
+    events table's rows as arriving files; windows closed by the final
+    watermark (end <= newest event - 5 minutes)."""
+    import datetime as _dt
+    from kbpipe.streaming.alerts import start_request_alert
+    e = Tables(spark, sf).events
+    src, out, ck = (scratch_path(spark, n) for n in ("events-in", "alerts-out", "alerts-ck"))
+    e.write.parquet(src)
+    start_request_alert(spark, src, e.schema, out, ck, threshold=ALERT_THRESHOLD).awaitTermination()
+    horizon = e.agg(F.max("ts")).first()[0] - _dt.timedelta(minutes=5)
+    res = spark.read.parquet(out)
+    return res.where(F.to_timestamp("window_end") <= F.lit(horizon))
+
+
+@query
+def ingest_stream(spark, sf):
+    """Documents as arriving files through the incremental ingest job; the
+    knowledge table it leaves behind."""
+    from kbpipe.streaming.ingest import start_ingest
+    d = Tables(spark, sf).documents
+    src, table, bk, ck = (scratch_path(spark, n) for n in ("docs-in", "kb", "kb-backup", "kb-ck"))
+    d.write.parquet(src)
+    start_ingest(spark, src, d.schema, table, bk, ck).awaitTermination()
+    k = store.read_table(spark, table)
+    return k.select("text", "source", "type", F.size("vector").cast("bigint").alias("n_dims"))
