@@ -81,9 +81,7 @@ def legacy_placeholder(spark, sf):
 
 @query
 def crawl_records(spark, sf):
-    f = Fixtures(spark, sf)
-    fetched = f.raw_bytes().join(f.fetched_pages().select("page_id", "html"), "page_id")
-    return Wb.crawl_records(spread(fetched))
+    return Wb.crawl_records(spread(Fixtures(spark, sf).raw_bytes(with_html=True)))
 
 
 @query

@@ -81,14 +81,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_WIDE = ("Repartition", "Aggregate", "Join", "Window", "Sort", "Deduplicate", "Expand",
+         "Generate", "Limit", "Sample", "PythonUDF", "MapInArrow", "MapInPandas")
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin small inputs over the cluster's cores.
 
     A small parquet file with one row group is read by a single task; the
     text operators downstream are CPU-heavy, so such inputs are spread.
     Inputs that already have enough partitions (any large table) are left
-    alone: no shuffle is added at scale.
+    alone: no shuffle is added at scale. Only narrow plans (scans,
+    projections, filters, unions) are inspected: their partition count is
+    known from planning alone, while asking a plan with a shuffle would make
+    adaptive execution run that shuffle first.
     """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(w in plan for w in _WIDE):
+        return df
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:

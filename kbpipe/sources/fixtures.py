@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kbpipe.session import spread
 from kbpipe.sources.tables import Tables
 
 # The twelve names used by the case-note templates
@@ -148,9 +149,10 @@ class Fixtures:
     def fetched_pages(self) -> DataFrame:
         return portable(self.spark, FETCHED_PAGES, pages=self.t.pages)
 
-    def raw_bytes(self) -> DataFrame:
+    def raw_bytes(self, with_html: bool = False) -> DataFrame:
+        html = ", html" if with_html else ""
         return portable(self.spark,
-                        f"SELECT page_id, url, content_type, status, "
+                        f"SELECT page_id, url, content_type, status{html}, "
                         f"CAST({RAW_CONTENT_TEXT} AS BINARY) AS content FROM {{fp}}",
                         fp=self.fetched_pages())
 
@@ -161,7 +163,7 @@ class Fixtures:
         return portable(self.spark, CODE_URLS, pages=self.t.pages)
 
     def questions(self) -> DataFrame:
-        return portable(self.spark, QUESTIONS, conversations=self.t.conversations)
+        return portable(self.spark, QUESTIONS, conversations=spread(self.t.conversations))
 
     def verdicts(self) -> DataFrame:
         return portable(self.spark, VERDICTS, labels=self.t.labels)
