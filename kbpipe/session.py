@@ -49,8 +49,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for materialised intermediates and sinks.
 
     Reads ``spark.checkpoint.dir`` (the cluster's shared location). Only when
-    it is unset, as in local tests, a fresh temporary folder is made and
-    registered, so that later ``checkpoint()`` calls agree with it.
+    it is unset on a local master, as in tests, a fresh temporary folder is
+    made and registered, so that later ``checkpoint()`` calls agree with it.
+    On a cluster a machine-local folder would vanish with its executor, so an
+    unset value is an error there.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -58,6 +60,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jdir.isDefined():
         return jdir.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     local = tempfile.mkdtemp(prefix="kbpipe-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
