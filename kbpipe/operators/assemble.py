@@ -13,19 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbpipe.functions.text import py_strip
-from kbpipe.operators.common import computed
-
-
-def _sql_str(s: str) -> str:
-    if s.isprintable() and "'" not in s and "\\" not in s:
-        return f"'{s}'"
-    return "concat(" + ", ".join(f"chr({ord(ch)})" for ch in s) + ")"
+from kbpipe.operators.common import computed, listagg_ordered, ordered_concat
 
 
 def _ordered(text: str, sep: str, *order: str):
-    """``listagg(text, sep) WITHIN GROUP (ORDER BY order...)``."""
-    return F.expr(f"listagg(`{text}`, {_sql_str(sep)}) WITHIN GROUP "
-                  f"(ORDER BY {', '.join(f'`{o}`' for o in order)})")
+    return listagg_ordered(text, sep, *order)
 
 
 def join_elements(elements: DataFrame, key: str, order: str, text: str = "text",
@@ -37,7 +29,7 @@ def join_elements(elements: DataFrame, key: str, order: str, text: str = "text",
     """
     nonempty = F.col(text).isNotNull() & (F.col(text) != "")
     e = elements.select(key, order, F.when(nonempty, F.col(text)).alias(text))
-    agg = e.groupBy(key).agg(_ordered(text, sep, order).alias("text"))
+    agg = ordered_concat(e, key, order, text, sep, out="text")
     out = agg.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
     if strip:
         out = computed(out, text=py_strip("text"))

@@ -33,3 +33,40 @@ def explode_rows(df: DataFrame, arr: Column, pos: str | None, val: str, *keep: s
         return x.where(F.col(pos).isNotNull()).withColumn(pos, F.col(pos).cast("bigint"))
     x = df.select(*cols, F.explode_outer(arr).alias(val))
     return x.where(F.col(val).isNotNull())
+
+
+def _sql_str(s: str) -> str:
+    if s.isprintable() and "'" not in s and "\\" not in s:
+        return f"'{s}'"
+    return "concat(" + ", ".join(f"chr({ord(ch)})" for ch in s) + ")"
+
+
+def listagg_ordered(text: str, sep: str, *order: str) -> Column:
+    """``listagg(text, sep) WITHIN GROUP (ORDER BY order...)``; NULLs skipped."""
+    return F.expr(f"listagg(`{text}`, {_sql_str(sep)}) WITHIN GROUP "
+                  f"(ORDER BY {', '.join(f'`{o}`' for o in order)})")
+
+
+ORDERED_BLOCK = 4096  # elements joined per first-level group
+
+
+def ordered_concat(df: DataFrame, key: str, order: str, text: str, sep: str,
+                   out: str = "text", block: int = ORDERED_BLOCK,
+                   count_out: str | None = None) -> DataFrame:
+    """``(key, out)``: non-NULL ``text`` joined with ``sep`` in ``order``.
+
+    Two levels, so a key holding a large share of all rows does not put all
+    of its rows in one task: contiguous runs of ``block`` order values are
+    joined first (grouped by key and run), then the run strings per key.
+    NULL elements and all-NULL runs are skipped at both levels, so the result
+    equals a single ordered join. Keys whose elements are all NULL get NULL.
+    ``count_out`` adds the number of elements per key.
+    """
+    run = F.floor(F.col(order) / F.lit(block)).alias("_run")
+    parts = (df.select(key, order, text, run)
+               .groupBy(key, "_run").agg(listagg_ordered(text, sep, order).alias("_part"),
+                                         F.count(F.lit(1)).alias("_n")))
+    aggs = [listagg_ordered("_part", sep, "_run").alias(out)]
+    if count_out:
+        aggs.append(F.sum("_n").alias(count_out))
+    return parts.groupBy(key).agg(*aggs)

@@ -53,3 +53,22 @@ def test_names_reach_every_chunk(spark):
     out = C.chunk_documents(df, "text").orderBy("chunk_no").collect()
     assert [r["chunk"] for r in out] == ["Subject: [NAME_REDACTED] asked.",
                                          "Later [NAME_REDACTED] called back."]
+
+
+def test_two_level_concat_equals_single_join(spark):
+    import random
+    from kbpipe.operators.common import ordered_concat
+    rng = random.Random(5)
+    rows, expect = [], {}
+    for key in range(6):
+        items = []
+        for pos in rng.sample(range(200), rng.randint(0, 40)):
+            v = rng.choice([None, None, "", "a", "bb", "c c"])
+            rows.append((key, pos, v))
+            items.append((pos, v))
+        vals = [v for _, v in sorted(items) if v is not None]
+        if items:
+            expect[key] = "|".join(vals) if vals else None
+    df = spark.createDataFrame(rows, "k int, pos int, v string")
+    got = {r["k"]: r["text"] for r in ordered_concat(df, "k", "pos", "v", "|", block=3).collect()}
+    assert got == expect
