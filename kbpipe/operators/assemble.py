@@ -21,7 +21,8 @@ def _ordered(text: str, sep: str, *order: str):
 
 
 def join_elements(elements: DataFrame, key: str, order: str, text: str = "text",
-                  sep: str = " ", strip: bool = True, keep_empty: bool = False) -> DataFrame:
+                  sep: str = " ", strip: bool = True, keep_empty: bool = False,
+                  documents: DataFrame | None = None) -> DataFrame:
     """Skip empty elements, join the rest in order.
 
     ``strip``/``keep_empty`` select the two flavours: crawl (space, strip,
@@ -30,6 +31,9 @@ def join_elements(elements: DataFrame, key: str, order: str, text: str = "text",
     nonempty = F.col(text).isNotNull() & (F.col(text) != "")
     e = elements.select(key, order, F.when(nonempty, F.col(text)).alias(text))
     agg = ordered_concat(e, key, order, text, sep, out="text")
+    if documents is not None:
+        # documents with no element at all (a PDF without pages) still count
+        agg = documents.select(key).distinct().join(agg, key, "left")
     out = agg.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
     if strip:
         out = computed(out, text=py_strip("text"))
@@ -42,8 +46,11 @@ def assemble_pdf_pages(pages: DataFrame) -> DataFrame:
     return join_elements(pages, "doc_id", "page_no", sep=" ", strip=True)
 
 
-def assemble_pdf_upload(pages: DataFrame) -> DataFrame:
-    return join_elements(pages, "doc_id", "page_no", sep="\n", strip=False, keep_empty=True)
+def assemble_pdf_upload(pages: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Upload flavour: newline-joined, not stripped; empty documents kept
+    (also those absent from ``pages`` when the ``documents`` list is given)."""
+    return join_elements(pages, "doc_id", "page_no", sep="\n", strip=False, keep_empty=True,
+                         documents=documents)
 
 
 def assemble_paragraphs(paragraphs: DataFrame) -> DataFrame:

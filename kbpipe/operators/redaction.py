@@ -93,12 +93,16 @@ def _escape(tok: str) -> str:
     return tok.replace("[", r"\[").replace("]", r"\]")
 
 
-def redaction_metrics(df: DataFrame, raw_col: str, redacted_col: str) -> DataFrame:
+def redaction_counters(raw_col: str, redacted_col: str) -> list:
     """Counter semantics: +1 per non-empty document redacted, plus the number
-    of placeholders of each kind in the output. A global aggregate: partial
-    sums per task, one tiny final merge."""
+    of placeholders of each kind in the output. Aggregate expressions usable
+    in ``agg`` or ``observe``."""
     counts = token_counts(redacted_col)
-    return df.agg(
-        F.count_if(F.col(raw_col).isNotNull() & (F.col(raw_col) != "")).alias("documents_redacted"),
-        *[F.sum(F.coalesce(v, F.lit(0))).cast("bigint").alias(k) for k, v in counts.items()],
-    )
+    return [F.count_if(F.col(raw_col).isNotNull() & (F.col(raw_col) != "")).alias("documents_redacted"),
+            *[F.sum(F.coalesce(v, F.lit(0))).cast("bigint").alias(k) for k, v in counts.items()]]
+
+
+def redaction_metrics(df: DataFrame, raw_col: str, redacted_col: str) -> DataFrame:
+    """The counters as a one-row table. A global aggregate: partial sums per
+    task, one tiny final merge."""
+    return df.agg(*redaction_counters(raw_col, redacted_col))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kbpipe.functions import html as H
 from kbpipe.functions import redact as R
-from kbpipe.functions.embed import DEFAULT_DIM, hashed_embedding
+from kbpipe.functions.embed import DEFAULT_DIM, hashed_embedding_sparse
 from kbpipe.functions import text as TX
 from kbpipe.operators import assemble as A
 from kbpipe.operators import chunk as C
@@ -195,7 +195,7 @@ def assemble_pdf_pages(spark, sf):
 
 @query
 def assemble_pdf_upload(spark, sf):
-    return A.assemble_pdf_upload(Fixtures(spark, sf).doc_pages())
+    return A.assemble_pdf_upload(Fixtures(spark, sf).doc_pages(), Tables(spark, sf).documents)
 
 
 @query
@@ -251,10 +251,10 @@ def chunk_counts(spark, sf):
 @query
 def embed_text(spark, sf):
     d = spread(Tables(spark, sf).documents)
-    e = d.select("doc_id", hashed_embedding("text", DEFAULT_DIM).alias("v"))
-    x = explode_rows(e, F.col("v"), "bucket", "w", "doc_id").where(F.col("w") != 0)
-    return x.select("doc_id", F.col("bucket").cast("bigint").alias("bucket"),
-                    F.round(F.col("w").cast("double"), 6).alias("weight"))
+    e = d.select("doc_id", hashed_embedding_sparse("text", DEFAULT_DIM).alias("v"))
+    x = explode_rows(e, F.col("v"), None, "e", "doc_id")
+    return x.select("doc_id", F.col("e.bucket").alias("bucket"),
+                    F.round(F.col("e.weight").cast("double"), 6).alias("weight"))
 
 
 @query

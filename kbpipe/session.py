@@ -27,6 +27,9 @@ def build_session(master: str | None = None, app: str = "kbpipe",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # vectors are 3072 floats: 2048-row Arrow batches keep a Python
+        # worker's batch (widened to float64 for scoring) near 50 MB
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         # one BLAS thread per Python worker: executors already run one

@@ -72,3 +72,10 @@ def test_two_level_concat_equals_single_join(spark):
     df = spark.createDataFrame(rows, "k int, pos int, v string")
     got = {r["k"]: r["text"] for r in ordered_concat(df, "k", "pos", "v", "|", block=3).collect()}
     assert got == expect
+
+
+def test_upload_keeps_documents_without_pages(spark):
+    pages = spark.createDataFrame([(1, 0, "x")], "doc_id bigint, page_no bigint, text string")
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id bigint")
+    got = {r["doc_id"]: r["text"] for r in A.assemble_pdf_upload(pages, docs).collect()}
+    assert got == {1: "x", 2: ""}
