@@ -111,10 +111,12 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return computed(x, link=U.join_url("base", "href")).select("page_id", "link_no", "link", "base")
 
 
-def same_site(links: DataFrame, base: str = "base") -> DataFrame:
+def same_site(links: DataFrame, base: str = "base", site: str | None = None) -> DataFrame:
     """Links whose authority (userinfo, host, port; case-sensitive) equals
-    the base URL's."""
-    return links.where(U.authority("link") == U.authority(base))
+    that of the crawl's start URL ``site`` or, without one, of each page's
+    own URL (``base``)."""
+    ref = U.authority(F.lit(site)) if site is not None else U.authority(base)
+    return links.where(U.authority("link") == ref)
 
 
 def frontier(links: DataFrame, visited: DataFrame) -> DataFrame:
