@@ -51,6 +51,8 @@ CONTEXT_NAME_RULES = [
 CONTEXT_REPLACEMENT = "$1" + NAME_TOKEN
 # literal each context rule needs (used to skip the regex when absent)
 CONTEXT_KEYWORDS = ["Subject:", "Coordinator:", "Kin Contact:", "Dr."]
+# the same, as found in raw text before whitespace normalisation
+CONTEXT_RAW_KEYWORDS = ["Subject:", "Coordinator:", "Contact:", "Dr."]
 
 # whitespace normalisation before redaction
 NEWLINE_RUN = rf"{S}*\n{S}*"

@@ -15,22 +15,39 @@ from kbpipe.functions import regexes as rx
 from kbpipe.operators.common import computed, explode_rows
 
 
-def with_stages(df: DataFrame, col: str, prefix: str = "_r_") -> DataFrame:
+def may_name(col: str):
+    """False only for texts in which no context rule can fire: every rule
+    needs its keyword, the token rules cannot create one, and whitespace
+    normalisation can only join ``Kin`` and ``Contact:``."""
+    c = F.col(col)
+    cond = None
+    for kw in rx.CONTEXT_RAW_KEYWORDS:
+        t = c.contains(kw)
+        cond = t if cond is None else cond | t
+    return F.coalesce(cond, F.lit(False))
+
+
+def with_stages(df: DataFrame, col: str, prefix: str = "_r_", names_only: bool = False) -> DataFrame:
     """Add ``{prefix}s`` (text after the four context rules, before the sweep)
     and ``{prefix}names`` (discovered names in sweep order).
 
     Each stage is its own projection so a regex result used twice (names are
-    read from the text a rule is about to rewrite) is computed once.
+    read from the text a rule is about to rewrite) is computed once. With
+    ``names_only`` the stages run only for texts where a name rule can fire
+    (``{prefix}s`` is then NULL elsewhere and must not be used).
     """
     t = f"{prefix}s"
-    df = df.withColumn(t, R.redact_tokens(col))
+    tokens = R.redact_tokens(col)
+    df = df.withColumn(t, F.when(may_name(col), tokens) if names_only else tokens)
     found = []
     for i in range(len(rx.CONTEXT_NAME_RULES)):
         n = f"{prefix}n{i}"
         df = df.withColumn(n, R.context_names(t, i)).withColumn(t, R.context_rule(t, i))
         found.append(n)
-    return (df.withColumn(f"{prefix}names", R.sort_names(F.concat(*found)))
-              .drop(*found))
+    names = R.sort_names(F.concat(*found))
+    if names_only:
+        names = F.coalesce(names, F.when(F.col(col).isNotNull(), F.array().cast("array<string>")))
+    return df.withColumn(f"{prefix}names", names).drop(*found)
 
 
 def redact(df: DataFrame, col: str = "text", out: str | None = None,

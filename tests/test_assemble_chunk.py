@@ -79,3 +79,10 @@ def test_upload_keeps_documents_without_pages(spark):
     docs = spark.createDataFrame([(1,), (2,)], "doc_id bigint")
     got = {r["doc_id"]: r["text"] for r in A.assemble_pdf_upload(pages, docs).collect()}
     assert got == {1: "x", 2: ""}
+
+
+def test_keyword_joined_across_newline_still_found(spark):
+    df = spark.createDataFrame([(1, "Kin\nContact: Zoe Taylor came.\n\nLater Zoe Taylor left.")],
+                               "doc_id bigint, text string")
+    out = [r["chunk"] for r in C.chunk_documents(df, "text").orderBy("chunk_no").collect()]
+    assert out == ["Kin Contact: [NAME_REDACTED] came.", "Later [NAME_REDACTED] left."]
