@@ -54,9 +54,14 @@ CONTEXT_KEYWORDS = ["Subject:", "Coordinator:", "Kin Contact:", "Dr."]
 # the same, as found in raw text before whitespace normalisation
 CONTEXT_RAW_KEYWORDS = ["Subject:", "Coordinator:", "Contact:", "Dr."]
 
-# whitespace normalisation before redaction
-NEWLINE_RUN = rf"{S}*\n{S}*"
-SPACE_RUN = r" +"
+# whitespace normalisation before redaction. The rule is "a whitespace run
+# holding a newline becomes one space" (written S*\nS*); the possessive form
+# below matches the same spans (non-newline whitespace, the first newline,
+# then the rest of the run) without backtracking. Single spaces are left as
+# they are, so only runs of two or more are rewritten.
+S_NO_NL = S[:-1] + r"&&[^\n]]"
+NEWLINE_RUN = rf"{S_NO_NL}*+\n{S}*+"
+SPACE_RUN = r" {2,}"
 
 # generic helpers
 WS_RUN = rf"{S}+"

@@ -27,7 +27,7 @@ def collapse_ws(c) -> Column:
 def normalise_ws(c) -> Column:
     """Redaction stage 1: NBSP -> space, runs holding a newline -> one space,
     space runs -> one space. No strip; tabs away from newlines survive."""
-    c = F.translate(col_of(c), "\u00a0", " ")
+    c = guarded(col_of(c), "\u00a0", lambda x: F.replace(x, F.lit("\u00a0"), F.lit(" ")))
     c = guarded(c, "\n", lambda x: F.regexp_replace(x, rx.NEWLINE_RUN, " "))
     return guarded(c, "  ", lambda x: F.regexp_replace(x, rx.SPACE_RUN, " "))
 
