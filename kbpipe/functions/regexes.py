@@ -89,7 +89,6 @@ ANCHOR_HREF = r"""(?is)<a\s[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 URL_SCHEME_AUTHORITY = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
 URL_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 URL_AFTER_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$"
-URL_HAS_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def container_pattern(tag: str) -> str:

@@ -77,16 +77,6 @@ def redact_with_names(df: DataFrame, col: str, names_col: str,
     return computed(df, **{out: R.sweep_names(f"{p}s", all_names)}).drop(f"{p}s", f"{p}names")
 
 
-def stage_columns(df: DataFrame, col: str = "text") -> DataFrame:
-    """Each single-rule stage as its own column, for inspection and tests."""
-    return (df
-            .withColumn("normalised", R.normalise_ws(col))
-            .withColumn("email_redacted", R.redact_email("normalised"))
-            .withColumn("phone_redacted", R.redact_phone("email_redacted"))
-            .withColumn("health_redacted", R.redact_health_id("phone_redacted"))
-            .withColumn("ref_redacted", R.redact_ref_num("health_redacted")))
-
-
 def discovered_names(df: DataFrame, id_col: str, col: str = "text") -> DataFrame:
     """One row per (document, discovered name)."""
     staged = with_stages(df.select(id_col, col), col, "_d_")

@@ -16,7 +16,6 @@ from kbpipe.functions.text import col_of
 from kbpipe.operators.common import computed, explode_rows
 
 # Document suffixes and the legacy placeholder text
-DOC_SUFFIXES = (".pdf", ".doc", ".docx", ".xls", ".xlsx")
 LEGACY_SUFFIXES = (".doc", ".xls")
 PDF_CONTENT_TYPE = "application/pdf"
 LEGACY_TEXT = "Legacy document format metadata placeholder for "

@@ -11,7 +11,6 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbpipe.functions import html as H
 from kbpipe.functions import redact as R
 from kbpipe.functions.embed import DEFAULT_DIM, hashed_embedding_sparse
 from kbpipe.functions import text as TX

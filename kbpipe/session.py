@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -112,6 +111,3 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
         return df.repartition(target)
     return df
 
-
-def default_cpus() -> int:
-    return int(os.environ.get("BENCH_CPUS", "8"))

@@ -1,6 +1,5 @@
 """Element assembly, upload check and chunking."""
 
-from pyspark.sql import functions as F
 
 from kbpipe.operators import assemble as A
 from kbpipe.operators import chunk as C
