@@ -50,7 +50,13 @@ def main():
     import __spark_entry__ as E
     qs, orc = E.queries(), E.oracle_sql()
     names = sys.argv[2].split(",") if len(sys.argv) > 2 else list(qs)
-    spark = build_session("local[8]", shuffle_partitions=8)
+    if os.environ.get("PLAIN_SESSION"):
+        # as a caller with Spark's defaults would run the queries
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = build_session("local[8]", shuffle_partitions=8)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")

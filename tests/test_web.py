@@ -151,3 +151,19 @@ def test_pdf_record_takes_decoded_text(spark):
     out = Wb.crawl_records(fetched, decoded).collect()
     assert [(r["type"], r["text"]) for r in out] == [("document", "Policy document content.")]
     assert Wb.crawl_records(fetched).count() == 0      # nothing decoded -> dropped
+
+
+def test_robots_parser_groups_and_empty_disallow():
+    from kbpipe.functions.urls import parse_robots
+    txt = ("# comment\nUser-agent: *\nDisallow:\n\nUser-agent: MyBot\nUser-agent: other\n"
+           "Disallow: /private # trailing\nAllow: /private/ok\n")
+    assert parse_robots(txt, "anybody") == [(0, True, "")]
+    assert parse_robots(txt, "mybot/2.0") == [(0, False, "/private"), (1, True, "/private/ok")]
+    assert parse_robots("", "x") == []
+
+
+def test_robots_star_path_and_encoding(spark):
+    robots = "User-agent: *\nDisallow: /a b\nAllow: *\n"
+    df = spark.createDataFrame([(1, "https://x.org/a%20b/c"), (2, "https://x.org/z")], "page_id bigint, url string")
+    out = {r["page_id"]: r["allowed_by_rules"] for r in Wb.robots_audit(df, robots).collect()}
+    assert out == {1: False, 2: True}
