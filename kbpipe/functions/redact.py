@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kbpipe.functions import regexes as rx
-from kbpipe.functions.text import col_of, guarded, normalise_ws
+from kbpipe.functions.text import NORMALISE_STEPS, col_of, guarded, normalise_ws
 
 
 def redact_email(c) -> Column:
@@ -30,9 +30,16 @@ def redact_ref_num(c) -> Column:
     return F.regexp_replace(col_of(c), rx.REF_NUM, rx.REF_TOKEN)
 
 
+# stages 1-5 in order: normalise, then the four fixed-token rules
+TOKEN_STEPS = [*NORMALISE_STEPS, redact_email, redact_phone, redact_health_id, redact_ref_num]
+
+
 def redact_tokens(c) -> Column:
-    """Stages 1-5: normalise, then the four fixed-token rules."""
-    return redact_ref_num(redact_health_id(redact_phone(redact_email(normalise_ws(c)))))
+    """Stages 1-5 as one nested expression (for short texts and tests)."""
+    c = col_of(c)
+    for step in TOKEN_STEPS:
+        c = step(c)
+    return c
 
 
 def context_rule(c, i: int) -> Column:

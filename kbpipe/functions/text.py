@@ -24,12 +24,31 @@ def collapse_ws(c) -> Column:
     return F.trim(collapsed)
 
 
+def nbsp_to_space(c) -> Column:
+    return guarded(col_of(c), "\u00a0", lambda x: F.replace(x, F.lit("\u00a0"), F.lit(" ")))
+
+
+def newline_runs(c) -> Column:
+    return guarded(col_of(c), "\n", lambda x: F.regexp_replace(x, rx.NEWLINE_RUN, " "))
+
+
+def space_runs(c) -> Column:
+    return guarded(col_of(c), "  ", lambda x: F.regexp_replace(x, rx.SPACE_RUN, " "))
+
+
+# redaction stage 1, step by step
+NORMALISE_STEPS = [nbsp_to_space, newline_runs, space_runs]
+
+
 def normalise_ws(c) -> Column:
     """Redaction stage 1: NBSP -> space, runs holding a newline -> one space,
-    space runs -> one space. No strip; tabs away from newlines survive."""
-    c = guarded(col_of(c), "\u00a0", lambda x: F.replace(x, F.lit("\u00a0"), F.lit(" ")))
-    c = guarded(c, "\n", lambda x: F.regexp_replace(x, rx.NEWLINE_RUN, " "))
-    return guarded(c, "  ", lambda x: F.regexp_replace(x, rx.SPACE_RUN, " "))
+    space runs -> one space. No strip; tabs away from newlines survive.
+    (One nested expression; operators apply ``NORMALISE_STEPS`` as separate
+    projections instead, see ``redaction.with_stages``.)"""
+    c = col_of(c)
+    for step in NORMALISE_STEPS:
+        c = step(c)
+    return c
 
 
 def guarded(c: Column, needle: str | tuple, fn) -> Column:

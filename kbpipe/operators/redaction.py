@@ -15,6 +15,17 @@ from kbpipe.functions import regexes as rx
 from kbpipe.operators.common import computed, explode_rows
 
 
+def apply_steps(df: DataFrame, col: str, steps, out: str | None = None) -> DataFrame:
+    """Column steps applied one projection at a time (each step's input is a
+    column reference, so guarded steps do not repeat their input)."""
+    out = out or col
+    if out != col:
+        df = df.withColumn(out, F.col(col))
+    for step in steps:
+        df = df.withColumn(out, step(out))
+    return df
+
+
 def may_name(col: str):
     """False only for texts in which no context rule can fire: every rule
     needs its keyword, the token rules cannot create one, and whitespace
@@ -37,8 +48,10 @@ def with_stages(df: DataFrame, col: str, prefix: str = "_r_", names_only: bool =
     (``{prefix}s`` is then NULL elsewhere and must not be used).
     """
     t = f"{prefix}s"
-    tokens = R.redact_tokens(col)
-    df = df.withColumn(t, F.when(may_name(col), tokens) if names_only else tokens)
+    # one projection per step: a guarded step reads its input three times,
+    # and as a column reference that input is computed once
+    df = df.withColumn(t, F.when(may_name(col), F.col(col)) if names_only else F.col(col))
+    df = apply_steps(df, t, R.TOKEN_STEPS)
     found = []
     for i in range(len(rx.CONTEXT_NAME_RULES)):
         n = f"{prefix}n{i}"

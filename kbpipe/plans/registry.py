@@ -126,35 +126,38 @@ def robots_audit(spark, sf):
 
 # ------------------------------------------------------------------ redaction
 
-def _stage(spark, sf, fn):
-    t = _texts(spark, sf)
-    return t.select("text_id", fn(F.col("text")).alias("text"))
+def _stage(spark, sf, n_steps):
+    """Texts after the first ``n_steps`` steps of the token stages."""
+    t = redaction.apply_steps(_texts(spark, sf), "text", R.TOKEN_STEPS[:n_steps])
+    return t.select("text_id", "text")
+
+
+_N_NORMALISE = len(R.NORMALISE_STEPS)
 
 
 @query
 def normalise_ws(spark, sf):
-    return _stage(spark, sf, R.normalise_ws)
+    return _stage(spark, sf, _N_NORMALISE)
 
 
 @query
 def redact_email(spark, sf):
-    return _stage(spark, sf, lambda c: R.redact_email(R.normalise_ws(c)))
+    return _stage(spark, sf, _N_NORMALISE + 1)
 
 
 @query
 def redact_phone(spark, sf):
-    return _stage(spark, sf, lambda c: R.redact_phone(R.redact_email(R.normalise_ws(c))))
+    return _stage(spark, sf, _N_NORMALISE + 2)
 
 
 @query
 def redact_health_id(spark, sf):
-    return _stage(spark, sf, lambda c: R.redact_health_id(
-        R.redact_phone(R.redact_email(R.normalise_ws(c)))))
+    return _stage(spark, sf, _N_NORMALISE + 3)
 
 
 @query
 def redact_ref_num(spark, sf):
-    return _stage(spark, sf, R.redact_tokens)
+    return _stage(spark, sf, _N_NORMALISE + 4)
 
 
 @query
