@@ -91,19 +91,27 @@ _WIDE = ("Repartition", "Aggregate", "Join", "Window", "Sort", "Deduplicate", "E
          "Generate", "Limit", "Sample", "PythonUDF", "MapInArrow", "MapInPandas")
 
 
+SPREAD_MAX_BYTES = 2 << 30   # never reshuffle an input larger than this
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin small inputs over the cluster's cores.
 
     A small parquet file with one row group is read by a single task; the
     text operators downstream are CPU-heavy, so such inputs are spread.
-    Inputs that already have enough partitions (any large table) are left
-    alone: no shuffle is added at scale. Only narrow plans (scans,
-    projections, filters, unions) are inspected: their partition count is
-    known from planning alone, while asking a plan with a shuffle would make
-    adaptive execution run that shuffle first.
+    Only small inputs qualify (the optimizer's size estimate is below
+    ``SPREAD_MAX_BYTES``): a large table is split by
+    ``spark.sql.files.maxPartitionBytes`` and is never reshuffled here, even
+    on a cluster with more cores than it has splits. Only narrow plans
+    (scans, projections, filters, unions) are inspected: their partition
+    count is known from planning alone, while asking a plan with a shuffle
+    would make adaptive execution run that shuffle first.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(w in plan for w in _WIDE):
+    qe = df._jdf.queryExecution()
+    plan = qe.optimizedPlan()
+    if any(w in plan.toString() for w in _WIDE):
+        return df
+    if int(plan.stats().sizeInBytes()) > SPREAD_MAX_BYTES:
         return df
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
