@@ -90,3 +90,21 @@ def test_main_text_matches_stdlib_parser_on_all_pages(spark, sf):
     pages = Tables(spark, sf).pages.select("page_id", "html", H.main_text("html").alias("t")).collect()
     bad = [r["page_id"] for r in pages if py_main_text(r["html"]) != r["t"]]
     assert not bad, bad[:5]
+
+
+HREF_PIECES = ["/", "a", "b.html", "..", ".", "?q=1", "#f", "//h.org", "http://x.org", "https://y.org:81",
+               ";p", "%20", "é", "?", "#", "", "mailto:z@x.org"]
+BASES = ["https://x.org/dir/page", "https://x.org/dir/", "http://u@x.org:8080/a/b?z=1#t", "https://x.org"]
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(BASES),
+                          st.lists(st.sampled_from(HREF_PIECES), max_size=5).map("".join)),
+                min_size=1, max_size=60))
+def test_url_join_matches_urllib(spark, pairs):
+    import urllib.parse
+    from kbpipe.functions.urls import join_url
+    df = spark.createDataFrame([(i, b, h) for i, (b, h) in enumerate(pairs)], "i int, b string, h string")
+    got = {r["i"]: r["j"] for r in df.select("i", join_url("b", "h").alias("j")).collect()}
+    for i, (b, h) in enumerate(pairs):
+        assert got[i] == urllib.parse.urljoin(b, h), (b, h)
