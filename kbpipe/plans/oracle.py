@@ -346,6 +346,11 @@ FROM (SELECT doc_id, names, chunk_no, {strip('piece')} AS chunk FROM p) WHERE ch
                              f"FROM embeddings e "
                              f"LEFT JOIN ({cosine_sql(ok_q, exclude_self=False)}) h ON h.qid = e.vec_id "
                              f"GROUP BY e.vec_id")
+    crawled_pages = sub(f"SELECT url, text FROM (SELECT url, {main_text('html')} AS text FROM pages) "
+                        f"WHERE text IS NOT NULL")
+    o["crawl_points"] = (f"SELECT sha256(concat_ws(chr(31), '{reg.RUN_ID}', url, _red)) AS id, url AS source, "
+                         f"'web_scraped' AS type, _red AS text, CAST({DIM} AS BIGINT) AS n_dims "
+                         f"FROM {redacted(crawled_pages)}")
     o["knowledge_append"] = f"SELECT id, text, source, type, CAST({DIM} AS BIGINT) AS n_dims FROM {POINTS}"
 
     # questions

@@ -22,6 +22,7 @@ from kbpipe.operators import redaction, retrieve
 from kbpipe.operators import web as Wb
 from kbpipe.operators.common import explode_rows
 from kbpipe.plans.answer import answer_questions
+from kbpipe.plans import ingest as ingest_plan
 from kbpipe.plans.ingest import knowledge_points
 from kbpipe.session import scratch_path, spread
 from kbpipe.sources import backup, store
@@ -294,6 +295,14 @@ def top_k_with_empty(spark, sf):
                    F.lit("")).alias("hit_ids"))
 
 
+@query
+def crawl_points(spark, sf):
+    """Crawled pages as whole-page points (the crawl endpoint's indexing)."""
+    recs = Wb.html_records(spread(Tables(spark, sf).pages))
+    pts = ingest_plan.crawl_points(recs, RUN_ID)
+    return pts.select("id", "source", "type", "text", F.size("vector").cast("bigint").alias("n_dims"))
+
+
 @query
 def knowledge_append(spark, sf):
     docs = Tables(spark, sf).documents
