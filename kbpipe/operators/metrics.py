@@ -41,6 +41,19 @@ def request_alert(events: DataFrame, threshold: int = REQUEST_ALERT_THRESHOLD,
                      "n_requests"))
 
 
+BUCKET_BYTES = 64 << 20
+
+
+def _bucket_count(df: DataFrame) -> int:
+    """About one bucket per 64 MiB of input (optimizer estimate), at most
+    the shuffle-partition setting. The count is explicit on purpose: both
+    branches of ``running_sum`` must see the same partition ids, so
+    adaptive execution must not coalesce this exchange."""
+    cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(1, min(cap, -(-size // BUCKET_BYTES)))
+
+
 def running_sum(df: DataFrame, part: str, order: list[str], value: str,
                 out: str = "running", buckets: int | None = None) -> DataFrame:
     """``sum(value) OVER (PARTITION BY part ORDER BY order ROWS UNBOUNDED
@@ -51,8 +64,7 @@ def running_sum(df: DataFrame, part: str, order: list[str], value: str,
     table bounded by the bucket count, give each bucket its offset; the
     running sum inside a bucket is an ordinary window.
     """
-    spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or _bucket_count(df)
     keys = [part, *order]
     b = df.repartitionByRange(n, *keys).withColumn("_bucket", F.spark_partition_id())
     totals = b.groupBy(part, "_bucket").agg(F.sum(value).alias("_total"))
