@@ -118,6 +118,12 @@ _WIDE = ("Repartition", "Aggregate", "Join", "Window", "Sort", "Deduplicate", "E
          "Generate", "Limit", "Sample", "PythonUDF", "MapInArrow", "MapInPandas")
 
 
+def is_narrow(df: DataFrame) -> bool:
+    """True for plans made only of scans, projections, filters and unions."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return not any(w in plan for w in _WIDE)
+
+
 SPREAD_MAX_BYTES = 2 << 30   # never reshuffle an input larger than this
 
 
