@@ -29,8 +29,8 @@ NOTICES = (
     ("bsd", "redistribution and use in source and binary forms", 5),
     ("bsl", "boost software license version 1 0", 3),
     ("cc-by", "licensed under cc by", 1),
-    ("cc-by-nc", "licensed under cc by nc", 2),
-    ("cc-by-sa", "licensed under cc by sa", 2),
+    ("cc-by-nc", "licensed under cc by nc", 1),
+    ("cc-by-sa", "licensed under cc by sa", 1),
     ("cc0", "dedicated to the public domain", 3),
     ("gpl", "licensed under the gnu general public license", 4),
     ("isc", "permission to use copy modify and or distribute this software", 5),

@@ -23,7 +23,7 @@ WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents
 ), w AS (
   SELECT r, doc_id, source, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words,
-         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
   FROM d
 ), win AS (
   SELECT r, i, array_to_string(list_slice(words, i + 1, i + {_W}), ' ') AS s
@@ -35,7 +35,7 @@ WITH d AS (
   FROM (SELECT win.r, unnest(range(win.i, win.i + {_W})) AS j FROM win JOIN dup USING (r, s)) GROUP BY r
 ), m AS (
   SELECT w.r, doc_id, source, len(words) AS n_words,
-         coalesce(list_sum(list_transform(words, x -> length(x))), 0)::BIGINT AS word_chars,
+         coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
          len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines,
          coalesce(hit.n, 0) AS n_repeat_words

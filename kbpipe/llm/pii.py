@@ -90,43 +90,61 @@ def confirmed(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
-_EMPTY = "array<struct<kind:string,start:bigint,end:bigint,match:string>>"
+_BLOCK = 128     # matches per block of running lengths
+_SPAN = "array<struct<kind:string,start:bigint,end:bigint,match:string,score:double>>"
 
 
-def spans_of(kind: str, text: Column) -> Column:
-    """Confirmed matches of one kind as structs (kind, start, end, match);
-    positions in code points, end exclusive."""
+def _found(kind: str, text: Column) -> Column:
+    """Per match (and once for what follows the last): the text before it
+    (``gap``), the match (NULL at the end), and their lengths."""
     guard, pattern = PATTERNS[kind]
-    pat = F.lit(pattern)
-    found = F.transform(
-        F.arrays_zip(F.split(text, pattern, -1).alias("gap"),
-                     F.regexp_extract_all(text, pat, F.lit(0)).alias("match")),
-        lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.coalesce(F.length(x["match"]), F.lit(0)).alias("len"),
-                           x["match"].alias("match")))
-    # a running position: the struct holds the position and the spans so far
-    spans = F.aggregate(
-        found, F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(f"cast(array() as {_EMPTY})").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["len"]).cast("bigint").alias("at"),
-            F.when(x["match"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(
-                F.lit(kind).alias("kind"), (acc["at"] + x["gap"]).cast("bigint").alias("start"),
-                (acc["at"] + x["gap"] + x["len"]).cast("bigint").alias("end"), x["match"].alias("match")))))
-            .alias("out")),
-        lambda acc: acc["out"])
-    kept = F.filter(spans, lambda s: confirmed(kind, s["match"]))
     tried = text.contains(guard) if guard else text.rlike("[0-9]")
-    return F.when(tried, kept).otherwise(F.expr(f"cast(array() as {_EMPTY})"))
+    return F.when(tried, F.transform(
+        F.arrays_zip(F.split(text, pattern, -1).alias("gap"),
+                     F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match")),
+        lambda x: F.struct(x["gap"].alias("gap"), F.length(x["gap"]).alias("before"),
+                           F.coalesce(F.length(x["match"]), F.lit(0)).alias("len"), x["match"].alias("match"))))
+
+
+def _total(part: Column) -> Column:
+    return F.aggregate(part, F.lit(0).cast("bigint"), lambda a, x: a + x["before"] + x["len"])
+
+
+def _block_totals(found: Column) -> Column:
+    n = F.ceil(F.size(found) / _BLOCK).cast("int")
+    return F.when(F.size(found) > 0, F.transform(
+        F.sequence(F.lit(0), n - 1), lambda b: _total(F.slice(found, b * _BLOCK + 1, _BLOCK))))
+
 
+def _block_starts(totals: Column) -> Column:
+    return F.transform(totals, lambda _, i: F.aggregate(
+        F.slice(totals, 1, i), F.lit(0).cast("bigint"), lambda a, x: a + x))
 
-def score(span: Column, text: Column) -> Column:
-    """Base score of the kind plus a bonus for a context word just before."""
-    out = F.lit(None).cast("double")
-    before = F.lower(F.substring(text, F.greatest(span["start"] - CONTEXT + 1, F.lit(1)).cast("int"),
-                                 F.least(span["start"], F.lit(CONTEXT)).cast("int")))
-    for kind, context in CONTEXT_WORDS.items():
-        bonus = F.when(before.rlike(rf"\b(?:{context})"), CONTEXT_BONUS).otherwise(0.0)
-        out = F.when(span["kind"] == kind, BASE_SCORE[kind] + bonus).otherwise(out)
-    return out
+
+def _spans(kind: str, found: Column, starts: Column) -> Column:
+    """Confirmed matches of one kind as structs (kind, start, end, match,
+    score); positions in code points, end exclusive. Running lengths are taken
+    per block of matches, so many matches in one text don't cost their square.
+    ``found`` and ``starts`` must be plain columns."""
+    def place(x: Column, i: Column) -> Column:
+        block = F.floor(i / _BLOCK).cast("int")
+        at = F.get(starts, block) + _total(F.slice(found, block * _BLOCK + 1, i % _BLOCK)) + x["before"]
+        near = F.lower(F.substring(x["gap"], -CONTEXT, CONTEXT))
+        bonus = F.when(near.rlike(rf"\b(?:{CONTEXT_WORDS[kind]})"), CONTEXT_BONUS).otherwise(0.0)
+        return F.struct(F.lit(kind).alias("kind"), at.cast("bigint").alias("start"),
+                        (at + x["len"]).cast("bigint").alias("end"), x["match"].alias("match"),
+                        (F.lit(BASE_SCORE[kind]) + bonus).alias("score"))
+
+    good = F.transform(found, lambda x, i: F.when(
+        x["match"].isNotNull() & confirmed(kind, x["match"]), place(x, i)))
+    return F.coalesce(F.filter(good, lambda s: s.isNotNull()), F.array().cast(_SPAN))
+
+
+def _once(df: DataFrame, cols: list[str], **parts: Column) -> DataFrame:
+    """``cols`` plus ``parts``, through a one-row generator: each part is
+    evaluated once per row, and later steps read it as a plain column."""
+    return df.select(*[F.col(f"`{c}`") for c in cols],
+                     F.inline(F.array(F.struct(*[e.alias(k) for k, e in parts.items()]))))
 
 
 def find_pii(docs: DataFrame, out: str = "pii") -> DataFrame:
@@ -138,14 +156,13 @@ def find_pii(docs: DataFrame, out: str = "pii") -> DataFrame:
     linear time; empty tables give empty tables.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    raw = {k: free_name(f"pii_{k}", [*docs.columns, out]) for k in PATTERNS}
-    one = docs.select(*cols, F.inline(F.array(F.struct(      # evaluated once per row
-        *[spans_of(k, text).alias(raw[k]) for k in PATTERNS]))))
-    scored = F.transform(F.concat(*[F.col(c) for c in raw.values()]), lambda s: F.struct(
-        s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-        s["match"].alias("match"), score(s, text).alias("score")))
-    return one.select(*cols, F.inline(F.array(F.struct(scored.alias(out)))))
+    p, kinds = free_name("pii_", [c[:4] for c in [*docs.columns, out]]), list(PATTERNS)
+    found, totals, starts = ([f"{p}{k}_{x}" for k in kinds] for x in "fts")
+    df = _once(docs, docs.columns, **{f: _found(k, text) for k, f in zip(kinds, found)})
+    df = _once(df, [*docs.columns, *found], **{t: _block_totals(F.col(f)) for t, f in zip(totals, found)})
+    df = _once(df, [*docs.columns, *found], **{s: _block_starts(F.col(t)) for s, t in zip(starts, totals)})
+    return _once(df, docs.columns, **{out: F.concat(*[
+        _spans(k, F.col(f), F.col(s)) for k, f, s in zip(kinds, found, starts)])})
 
 
 def count_of(spans: Column, kind: str) -> Column:
@@ -154,42 +171,33 @@ def count_of(spans: Column, kind: str) -> Column:
 
 def joined(spans: Column) -> Column:
     """``kind:start:end`` of every span, comma-joined."""
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its placeholder; where
-    spans of several kinds overlap, the one that starts first (then the
-    longest) counts, and what it leaves of the others goes with it. Texts
-    without a span are unchanged. ``n_chars``, where there is one, follows."""
-    pii = free_name("pii", docs.columns)
-    found = find_pii(docs, pii)
-    text = F.col("text")
-    ordered = F.array_sort(F.transform(F.col(pii), lambda s: F.struct(
-        s["start"].alias("start"), (-s["end"]).alias("neg_end"), s["kind"].alias("kind"))))
-    acc0 = F.struct(F.lit(0).cast("bigint").alias("at"),
-                    F.expr("cast(array() as array<string>)").alias("parts"))
-
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["neg_end"]
-        mark = F.lit("")
-        for kind, label in PLACEHOLDERS.items():
-            mark = F.when(s["kind"] == kind, label).otherwise(mark)
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        new = F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(F.concat(gap, mark)))) \
-               .otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["at"], end).cast("bigint").alias("at"), new.alias("parts"))
-
-    clean = F.aggregate(ordered, acc0, step, lambda acc: F.concat(
-        F.array_join(acc["parts"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    new = free_name("clean", [*docs.columns, pii])
-    out = found.withColumn(new, F.when(F.size(pii) > 0, clean).otherwise(text))
+    """``docs`` with every confirmed match in ``text`` replaced by its kind's
+    placeholder, one kind after the other (placeholders match no pattern, and
+    where matches of two kinds overlap the kind listed first takes it). Texts
+    without a match are unchanged; ``n_chars``, where there is one, follows
+    the text where it changed."""
+    p = free_name("pii_", [c[:4] for c in docs.columns])
+    new, f = f"{p}text", f"{p}found"
+    df = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").alias(new))
+    for kind in PATTERNS:
+        df = _once(df, [*docs.columns, new], **{f: _found(kind, F.col(new))})
+        df = _once(df, docs.columns, **{new: F.coalesce(F.array_join(_parts(F.col(f), kind), ""), F.col(new))})
     cols = []
     for c in docs.columns:
         e = F.col(f"`{c}`")
         if c == "text":
             e = F.col(new)
         elif c == "n_chars":
-            e = F.when(F.size(pii) > 0, F.length(F.col(new)).cast(dict(docs.dtypes)[c])).otherwise(e)
+            e = F.when(F.col(new) != F.col("text"), F.length(F.col(new)).cast(dict(docs.dtypes)[c])).otherwise(e)
         cols.append(e.alias(c))
-    return out.select(*cols)
+    return df.select(*cols)
+
+
+def _parts(found: Column, kind: str) -> Column:
+    return F.transform(found, lambda x: F.concat(x["gap"], F.when(x["match"].isNull(), "").when(
+        confirmed(kind, x["match"]), PLACEHOLDERS[kind]).otherwise(x["match"])))

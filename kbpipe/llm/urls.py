@@ -39,6 +39,7 @@ LISTED_WORDS = ("spam", "pills", "casino", "porn", "xxx", "warez", "phish", "mal
 
 MAX_LEVEL_BYTES = 64 << 20     # a broadcast level is never larger
 SEEDS = (17, 71)
+FINAL_BYTES = 32 << 10         # a level may take this much to make no mistake at all
 
 
 def host_of(url: Column) -> Column:
@@ -127,15 +128,23 @@ def _passing(keys: DataFrame, level: Level, n: int) -> DataFrame:
     return arrow_map(keys.select("h1", "h2", "listed"), run, "h1 bigint, h2 bigint, listed boolean")
 
 
-def build_cascade(keys: DataFrame, scratch: Scratch) -> list[Level]:
+def _rate(n: int, n_encode: int, n_others: int, final_bytes: int) -> float:
+    """Mistakes allowed to level ``n``: a share that balances the sizes of all
+    levels, or next to none once that fits into ``final_bytes``."""
+    sure = 0.1 / max(1, n_others)
+    if n_encode * -math.log(sure) / math.log(2) ** 2 <= 8 * final_bytes:
+        return sure
+    return math.sqrt(0.5) * n_encode / n_others if n == 0 else 0.5
+
+
+def build_cascade(keys: DataFrame, scratch: Scratch, final_bytes: int = FINAL_BYTES) -> list[Level]:
     """Levels for ``keys`` (``h1, h2, listed``: the distinct universe)."""
     levels: list[Level] = []
     encode, others = keys.where("listed"), keys.where("not listed")
     n_encode, n_others = keys.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first()
     while n_encode:
         n = len(levels)
-        rate = math.sqrt(0.5) * n_encode / n_others if n == 0 and n_others else 0.5
-        level = Level(n_encode, rate)
+        level = Level(n_encode, _rate(n, n_encode, n_others, final_bytes))
         if level.n_bytes > MAX_LEVEL_BYTES:
             raise ValueError("universe too large for one cascade: use more shards")
         pos = F.explode(F.array(*level.positions(F.col("h1"), F.col("h2"), n)))
@@ -167,7 +176,7 @@ def is_spam_host(host: Column) -> Column:
 
 
 def add_membership(df: DataFrame, key: str, out: str, keys: DataFrame, scratch: Scratch,
-                   shards: int | None = None) -> DataFrame:
+                   shards: int | None = None, final_bytes: int = FINAL_BYTES) -> DataFrame:
     """``df`` plus boolean ``out``: whether column ``key`` is listed, exact for
     every key of the universe ``keys``."""
     if shards is None:
@@ -178,7 +187,7 @@ def add_membership(df: DataFrame, key: str, out: str, keys: DataFrame, scratch:
     df = df.select("*", h1.alias(f"{out}_h1"), h2.alias(f"{out}_h2"), F.lit(False).alias(out))
     for shard in range(shards):
         part = keys.where(F.pmod(F.shiftright("h1", 24), F.lit(shards)) == shard)
-        levels = build_cascade(part, scratch)
+        levels = build_cascade(part, scratch, final_bytes)
         df = _add_shard(df, out, levels, shard, shards)
     return df.select(*cols, F.col(out))
 
