@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kbpipe.session import materialize
+
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 # Alert settings (thresholds are parameters with these defaults)
@@ -41,17 +43,7 @@ def request_alert(events: DataFrame, threshold: int = REQUEST_ALERT_THRESHOLD,
                      "n_requests"))
 
 
-BUCKET_BYTES = 64 << 20
-
-
-def _bucket_count(df: DataFrame) -> int:
-    """About one bucket per 64 MiB of input (optimizer estimate), at most
-    the shuffle-partition setting. The count is explicit on purpose: both
-    branches of ``running_sum`` must see the same partition ids, so
-    adaptive execution must not coalesce this exchange."""
-    cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(1, min(cap, -(-size // BUCKET_BYTES)))
+BUCKET_ROWS = 1 << 20     # rows of a bucket, on average
 
 
 def running_sum(df: DataFrame, part: str, order: list[str], value: str,
@@ -60,21 +52,22 @@ def running_sum(df: DataFrame, part: str, order: list[str], value: str,
     PRECEDING)`` without putting a whole partition in one task.
 
     Rows are range-partitioned on (part, order...) into balanced buckets
-    (ties in time are split by the later order keys); bucket totals, a tiny
-    table bounded by the bucket count, give each bucket its offset; the
-    running sum inside a bucket is an ordinary window.
+    (ties in time are split by the later order keys) and written once with
+    their bucket, so that every later step sees the same buckets; bucket
+    totals (one row per bucket and part) give each bucket its offset; the
+    running sum inside a bucket is an ordinary window. A NULL ``part`` is a
+    partition of its own.
     """
-    n = buckets or _bucket_count(df)
-    keys = [part, *order]
-    b = df.repartitionByRange(n, *keys).withColumn("_bucket", F.spark_partition_id())
+    n = buckets or max(1, -(-df.count() // BUCKET_ROWS))
+    b = materialize(df.repartitionByRange(n, part, *order).withColumn("_bucket", F.spark_partition_id()),
+                    "running-sum")
     totals = b.groupBy(part, "_bucket").agg(F.sum(value).alias("_total"))
     before = Window.partitionBy(part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(before),
-                                                      F.lit(0).cast(totals.schema["_total"].dataType)))
-    # at most buckets + distinct parts rows: bounded, safe to broadcast
-    b = b.join(F.broadcast(offsets.select(part, "_bucket", "_offset")), [part, "_bucket"])
+    offsets = totals.select(F.col(part).alias("_part"), F.col("_bucket").alias("_b"), F.coalesce(
+        F.sum("_total").over(before), F.lit(0).cast(totals.schema["_total"].dataType)).alias("_offset"))
+    b = b.join(offsets, F.col(part).eqNullSafe(F.col("_part")) & (F.col("_bucket") == F.col("_b")))
     inner = Window.partitionBy(part, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return b.withColumn(out, F.col("_offset") + F.sum(value).over(inner)).drop("_bucket", "_offset")
+    return b.withColumn(out, F.col("_offset") + F.sum(value).over(inner)).drop("_bucket", "_offset", "_part", "_b")
 
 
 def budget_alert(costs: DataFrame, budget: float = MONTHLY_BUDGET,
@@ -86,11 +79,12 @@ def budget_alert(costs: DataFrame, budget: float = MONTHLY_BUDGET,
     r = running_sum(c, "month", [ts, id_col], cost, out="month_to_date")
     limit = F.lit(budget * fraction).cast("decimal(18,2)")
     crossed = r.where(F.col("month_to_date") >= limit)
-    first = Window.partitionBy("month").orderBy(ts, id_col)
-    return (crossed.withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1)
-                   .select("month", fmt_ts(F.col(ts)).alias("alert_ts"),
-                           F.col(id_col).alias("charge_id"),
-                           F.col("month_to_date").cast("double").alias("month_to_date")))
+    first = crossed.groupBy("month").agg(F.min_by(
+        F.struct(F.col(ts).alias("t"), F.col(id_col).alias("i"), "month_to_date"),
+        F.struct(ts, id_col)).alias("f"))
+    return first.select("month", fmt_ts(F.col("f.t")).alias("alert_ts"),
+                        F.col("f.i").alias("charge_id"),
+                        F.col("f.month_to_date").cast("double").alias("month_to_date"))
 
 
 def log_retention(events: DataFrame, days: int = RETENTION_DAYS, ts: str = "ts") -> DataFrame:

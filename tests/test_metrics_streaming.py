@@ -103,3 +103,20 @@ def test_streaming_ingest_equals_batch(spark, sf, tmp_path):
     batch = knowledge_points(d, "x", dim=256).select("text", "source")
     assert kb.exceptAll(batch).count() == 0 and batch.exceptAll(kb).count() == 0
     assert backup.restore_backup(spark, bk).count() == d.count()
+
+
+def test_running_sum_keeps_null_parts_and_needs_no_exchange_reuse(spark):
+    from pyspark.sql import functions as F
+
+    from kbpipe.operators.metrics import running_sum
+    df = spark.range(5000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("part"),
+                                  (F.col("id") * 7919 % 5000).alias("ts"), F.col("id").alias("v"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = {r["id"]: r["running"] for r in running_sum(df, "part", ["ts", "id"], "v", buckets=7).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    want, sums = {}, {}
+    for r in sorted(df.collect(), key=lambda r: (r["ts"], r["id"])):
+        want[r["id"]] = sums[r["part"]] = sums.get(r["part"], 0) + r["v"]
+    assert got == want
