@@ -131,7 +131,9 @@ def _passing(keys: DataFrame, level: Level, n: int) -> DataFrame:
 def _rate(n: int, n_encode: int, n_others: int, final_bytes: int) -> float:
     """Mistakes allowed to level ``n``: a share that balances the sizes of all
     levels, or next to none once that fits into ``final_bytes``."""
-    sure = 0.1 / max(1, n_others)
+    if not n_others:
+        return 0.5
+    sure = 0.1 / n_others
     if n_encode * -math.log(sure) / math.log(2) ** 2 <= 8 * final_bytes:
         return sure
     return math.sqrt(0.5) * n_encode / n_others if n == 0 else 0.5

@@ -209,7 +209,7 @@ def test_urls(spark):
 
 
 @pytest.mark.parametrize("share,shards,final", [(0.02, None, 32 << 10), (0.5, None, 1 << 10), (0.98, None, 32 << 10),
-                                                (0.0, None, 0), (1.0, None, 0), (0.1, 2, 64)])
+                                                (0.0, None, 0), (1.0, None, 0), (0.1, 2, 128)])
 def test_cascade_is_exact_for_the_whole_universe(spark, share, shards, final):
     scratch = Scratch(spark, "t")
     pages = spark.range(2_000).select(F.concat(F.lit("k"), F.col("id") % 1_500).alias("key"))
