@@ -114,29 +114,42 @@ def _sigmoid(v: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(v, -30, 30))))
 
 
-def training_sample(docs: DataFrame, per_lang: int) -> DataFrame:
-    """At most ``per_lang`` rows of each language that may be learned from,
-    the first by a hash of the text (ranked before texts are shuffled)."""
+def training_rows(docs: DataFrame) -> DataFrame:
+    """Labelled rows that may be learned from: ``lang, text, h``, where ``h``
+    is a hash of id and text (copies of one text differ)."""
     may = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()
                      & F.coalesce(remainder_of(F.col("doc_id"), HELD_OUT) != 0, F.lit(False))
                      & F.rlike("text", F.lit(r"\p{L}")))
+    return may.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+
+
+def training_sample(rows: DataFrame, counts: dict[str, int], per_lang: int) -> DataFrame:
+    """At most ``per_lang`` rows of each language, the first by hash.
+
+    ``counts`` are the languages' numbers of rows: a hash threshold twice as
+    wide as needed leaves about ``2 * per_lang`` rows a language before any
+    are shuffled, however large the table or a language is."""
+    cut = F.create_map(*[c for lang, n in counts.items() for c in (F.lit(lang), F.lit(
+        (1 << 63) - 1 if n <= 2 * per_lang else int((2 * per_lang / n) * 2 ** 64) - (1 << 63)).cast("bigint"))])
     w = Window.partitionBy("lang").orderBy("h")
-    return (may.select("lang", "text", F.xxhash64("text").alias("h"))
+    return (rows.where(F.col("h") <= cut[F.col("lang")])
             .withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_lang).select("lang", "text", "h"))
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, dim: int = DIM) -> Model | None:
     """Model from a bounded sample: feature vectors are computed in tasks and
-    about ``sample_rows`` of them reach the driver."""
-    n_langs = docs.where("lang is not null").select("lang").distinct().count()
-    if not n_langs:
+    about ``sample_rows`` of them reach the driver, which holds one count and
+    a few weight vectors per language."""
+    may = training_rows(docs)
+    counts = {r["lang"]: r["count"] for r in may.groupBy("lang").count().collect()}
+    if not counts:
         return None
 
     def run(batch):
         return {"lang": batch.column("lang"), "h": batch.column("h"),
                 "x": [features(t, dim).tobytes() for t in texts(batch, "text")]}
 
-    sample = training_sample(docs, max(MIN_PER_LANG, sample_rows // n_langs))
+    sample = training_sample(may, counts, max(MIN_PER_LANG, sample_rows // len(counts)))
     rows = arrow_map(sample, run, "lang string, h bigint, x binary").toArrow().sort_by(
         [("lang", "ascending"), ("h", "ascending"), ("x", "ascending")])
     if not rows.num_rows:

@@ -198,6 +198,14 @@ def test_languages_edge(spark, edge, edge_rows):
     assert {r.lang_pred for r in langid.identify(edge, None).collect()} == {"und"}
 
 
+def test_training_sample_is_bounded_per_language(spark):
+    rows = langid.training_rows(spark.range(3000).selectExpr(
+        "id as doc_id", "'the same text' as text", "if(id % 100 = 0, 'fr', 'en') as lang"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    got = {r["lang"]: r["count"] for r in langid.training_sample(rows, counts, 50).groupBy("lang").count().collect()}
+    assert got == {"en": 50, "fr": counts["fr"]} and counts["en"] > 2000
+
+
 def test_features_of_long_texts_are_those_of_the_whole(monkeypatch):
     raw = bytes(random.Random(1).choices(b"abc\xc3\xa9 ", k=5000))
     whole = langid.features(raw)
