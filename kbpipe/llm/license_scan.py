@@ -56,12 +56,13 @@ def pieces(phrase: str, errors: int) -> list[tuple[int, str]]:
 
 @lru_cache(maxsize=None)
 def _compiled(notices: tuple) -> list:
-    """Per notice: label, phrase, errors, seeds as (offset, text, bytes), and
-    two patterns: best match, and the same without the word boundary rule."""
+    """Per notice: label, phrase, errors, seeds as (offset, text, bytes) and
+    the pattern, which takes the first match and then betters its fit (the
+    best of a whole stretch would pass over weaker ones before it)."""
     out = []
     for label, phrase, errors in notices:
         pat = regex.compile(rf"(?<![^ ])(?:{regex.escape(phrase)}){{e<={errors}}}(?![^ ])",
-                            regex.BESTMATCH)
+                            regex.ENHANCEMATCH)
         seeds = [(off, s, s.encode()) for off, s in pieces(phrase, errors)]
         out.append((label, phrase, errors, seeds, pat))
     return out
@@ -122,19 +123,28 @@ def find_phrases(norm: bytes, phrases: dict[str, str]) -> list[tuple[str, int]]:
     return out
 
 
+def word_numbers(norm, space, places) -> dict[int, int]:
+    """Word number of every place, in one pass over the text."""
+    out, at, n = {}, 0, 0
+    for place in sorted(set(places)):
+        n += norm.count(space, at, place)
+        at = place
+        out[place] = n
+    return out
+
+
 def scan_text(raw: bytes, notices: tuple = NOTICES, phrases: dict[str, str] = BASE_PHRASES) -> dict:
     """All results for one text; see ``scan_licenses``."""
     ws = words(raw)
     norm = b" ".join(ws)
     base = find_phrases(norm, phrases)
-    starts = [norm.count(b" ", 0, at) for _, at in base]
+    starts = word_numbers(norm, b" ", (at for _, at in base)).values()
     fuzzy = find_notices(norm, notices)
     spans, best = [], 1.0 if base else 0.0
     if fuzzy:
-        text = norm.decode()
+        word = word_numbers(norm.decode(), " ", (at for _, s, e, _, _ in fuzzy for at in (s, e)))
         for label, s, e, edits, size in fuzzy:
-            w = text.count(" ", 0, s)
-            spans.append((w, w + text.count(" ", s, e), label, edits))
+            spans.append((word[s], word[e], label, edits))
             best = max(best, 1.0 - edits / size)
     base_labels = sorted({label for label, _ in base})
     return {"n_words": len(ws), "n_base": len(base),

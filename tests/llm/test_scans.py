@@ -50,6 +50,16 @@ def test_license_notices(text, labels, score):
     assert got["labels"] == labels and got["score"] == pytest.approx(score)
 
 
+def test_license_weaker_match_before_a_better_one():
+    text = b"released under teh mit license and released under the mit license"
+    assert license_scan.scan_text(text)["spans"] == ["mit:0:4:2", "mit:6:10:0"]
+
+
+def test_license_places_of_a_long_text_take_linear_time():
+    got = license_scan.scan_text(b"cc by " * 300_000)
+    assert (got["n_base"], got["first_word"], got["last_word"]) == (300_000, 0, 599_998)
+
+
 def test_license_search_agrees_with_full_dynamic_programming():
     """Every notice within its edits is found, by seeds, as a scan of all places would."""
     import random
