@@ -47,9 +47,21 @@ def build_session(master: str | None = None, app: str = "kbpipe",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ship_package(spark)
+    bound_batches(spark)
     return spark
 
 
+ARROW_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep a Python worker's Arrow batch near 16 MB unless the session says
+    otherwise: rows of long texts or many vectors would fill Spark's 64 MB, in
+    every worker and again in its JVM buffer."""
+    if spark.conf.get(ARROW_BATCH_BYTES, None) is None:
+        spark.conf.set(ARROW_BATCH_BYTES, str(16 << 20))
+
+
 _SHIPPED: set[str] = set()
 
 
