@@ -73,14 +73,14 @@ HTML_STYLE = r"(?is)<style\b[^>]*>.*?</style\s*>"
 HTML_CONTAINERS = ["main", "article", "body"]
 # blocks removed inside the chosen container
 HTML_DROPPED_BLOCKS = ["nav", "footer", "header"]
-HTML_TAG = r"<[^>]*>"
+HTML_TAG = r"<[A-Za-z/!?][^>]*>"     # "5 < 6" is text
 # Entities decoded, in this order; &amp; must stay last
 HTML_ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
     ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"),
     ("&middot;", "·"), ("&amp;", "&"),
 ]
-ANCHOR_HREF = r"""(?is)<a\s[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+ANCHOR_HREF = r"""(?is)<a\s(?:[^>]*?[\s"'])?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 URL_SCHEME_AUTHORITY = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
 URL_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
@@ -88,12 +88,12 @@ URL_AFTER_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$"
 
 
 def container_pattern(tag: str) -> str:
-    return rf"(?is)<{tag}\b[^>]*>(.*?)(?:</{tag}\s*>|\z)"
+    return rf"(?is)<{tag}(?:[\s/][^>]*)?>(.*?)(?:</{tag}\s*>|\z)"
 
 
 def container_present(tag: str) -> str:
-    return rf"(?i)<{tag}\b"
+    return rf"(?i)<{tag}(?:[\s/][^>]*)?>"
 
 
 def block_pattern(tag: str) -> str:
-    return rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>"
+    return rf"(?is)<{tag}(?:[\s/][^>]*)?>.*?</{tag}\s*>"

@@ -61,7 +61,7 @@ def join_url(base, href) -> Column:
     origin = F.regexp_extract(b, rx.URL_SCHEME_AUTHORITY, 1)
     simple = ~h.rlike(_DOT_SEGMENT) & ~h.rlike(_AWKWARD)
     root_rel = h.rlike(r"^/(?!/)") & simple & (origin != "")
-    absolute = h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://") & simple
+    absolute = h.rlike(r"^[a-z][a-z0-9+.-]*://") & simple      # a join lower-cases the scheme
     native = (F.when(h == "", b)
                .when(root_rel, F.concat(origin, h))
                .when(absolute, h))
@@ -74,68 +74,24 @@ def join_url(base, href) -> Column:
 # robots rules
 # ---------------------------------------------------------------------------
 
-def _quote(path: str) -> str:
-    return urllib.parse.quote(urllib.parse.unquote(path))
-
-
-def parse_robots(text: str, agent: str) -> list[tuple[int, bool, str]]:
-    """The rule list that applies to ``agent``: ``[(rule_no, allow, path)]``.
-
-    Groups are ``User-agent`` lines followed by rules; the first group naming
-    a token contained in the agent wins, else the ``*`` group. An empty
-    ``Disallow`` allows everything. Robots files are small (crawlers cap them
-    at a few hundred KiB), so the rules travel as a literal.
-    """
-    groups, cur, in_rules = [], None, False
-    for raw in text.splitlines():
-        line = raw.split("#", 1)[0].strip()
-        if ":" not in line:
-            continue
-        key, val = (s.strip() for s in line.split(":", 1))
-        key = key.lower()
-        if key == "user-agent":
-            if cur is None or in_rules:
-                cur = {"agents": [], "rules": []}
-                groups.append(cur)
-                in_rules = False
-            cur["agents"].append(val)
-        elif key in ("allow", "disallow") and cur is not None:
-            in_rules = True
-            allow = key == "allow"
-            if val == "" and not allow:
-                allow = True
-            cur["rules"].append((allow, _quote(urllib.parse.urlunparse(urllib.parse.urlparse(val)))))
-    token = agent.split("/")[0].lower()
-    chosen = None
-    for g in groups:
-        if any(a != "*" and a.lower() in token for a in g["agents"]):
-            chosen = g
-            break
-    if chosen is None:
-        chosen = next((g for g in groups if "*" in g["agents"]), None)
-    rules = chosen["rules"] if chosen else []
-    return [(i, allow, path) for i, (allow, path) in enumerate(rules)]
+def requoted(path) -> Column:
+    """Percent-decoded, then quoted again with only ``/`` kept."""
+    p = col_of(path)
+    enc = F.url_encode(F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p))
+    for a, b in (("%2F", "/"), ("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        enc = F.replace(enc, F.lit(a), F.lit(b))
+    return enc
 
 
 def robots_target(url) -> Column:
-    """What a rule is matched against: the URL after its authority
-    (path, parameters, query, fragment), percent-decoded then re-quoted with
-    only ``/`` kept, ``/`` when empty."""
-    rest = path_and_rest(url)
-    decoded = F.try_url_decode(F.replace(rest, F.lit("+"), F.lit("%2B")))
-    decoded = F.coalesce(decoded, rest)
-    enc = F.url_encode(decoded)
-    for a, b in (("%2F", "/"), ("+", "%20"), ("*", "%2A"), ("%7E", "~")):
-        enc = F.replace(enc, F.lit(a), F.lit(b))
+    """What a rule is matched against: the URL after its authority (path,
+    parameters, query, fragment), requoted, ``/`` when empty."""
+    enc = requoted(path_and_rest(url))
     return F.when(enc == "", F.lit("/")).otherwise(enc)
 
 
-def robots_allowed(url, rules: list[tuple[int, bool, str]]) -> Column:
-    """First matching rule (file order) decides; no match means allowed."""
-    if not rules:
-        return F.lit(True)
-    target = robots_target(url)
-    arr = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(a).alias("allow"), F.lit(p).alias("path"))
-                    for n, a, p in rules])
-    hits = F.filter(arr, lambda r: (r["path"] == "*") | target.startswith(r["path"]))
+def first_rule_allows(target: Column, rules: Column) -> Column:
+    """``rules`` is a host's array of (rule_no, path, allow) in file order:
+    the first whose path starts ``target`` decides; none means allowed."""
+    hits = F.filter(rules, lambda r: (r["path"] == "*") | target.startswith(r["path"]))
     return F.coalesce(F.try_element_at(hits, F.lit(1))["allow"], F.lit(True))

@@ -20,7 +20,6 @@ LEGACY_SUFFIXES = (".doc", ".xls")
 PDF_CONTENT_TYPE = "application/pdf"
 LEGACY_TEXT = "Legacy document format metadata placeholder for "
 # the crawler's user-agent token is a deployment parameter
-CRAWL_AGENT = "kbpipe-crawler"
 
 
 def page_scan(pages: DataFrame) -> DataFrame:
@@ -125,13 +124,23 @@ def frontier(links: DataFrame, visited: DataFrame) -> DataFrame:
     return cand.join(visited.select("url").distinct(), "url", "left_anti")
 
 
-def robots_audit(pages: DataFrame, robots_txt: str, agent: str = CRAWL_AGENT,
-                 override: bool = True) -> DataFrame:
+def robots_audit(pages: DataFrame, rules: DataFrame, override: bool = True) -> DataFrame:
     """``allowed_by_rules`` per URL and the crawler's ``effective`` decision
-    (a disallow is logged and overridden in the crawler's policy)."""
-    rules = U.parse_robots(robots_txt, agent)
-    allowed = U.robots_allowed("url", rules)
-    out = pages.select("page_id", "url", allowed.alias("allowed_by_rules"))
+    (a disallow is logged and overridden in the crawler's policy).
+
+    ``rules`` are ``(host, rule_no, path, allow)`` rows of the group that
+    applies to the crawler; they hold for URLs of that host (authority as
+    written) only. A host's rules become one row (robots files are bounded in
+    size), so a page meets its host's rules in one equi-join, never in pairs.
+    An empty path with ``allow`` false allows everything; a host without
+    rules, like a URL without one, is allowed."""
+    path = F.when(F.col("path") == "*", F.col("path")).otherwise(U.requoted("path"))
+    hosts = rules.groupBy("host").agg(F.array_sort(F.collect_list(F.struct(
+        "rule_no", path.alias("path"), (F.col("allow") | (F.col("path") == "")).alias("allow")))).alias("_rules"))
+    j = pages.select("page_id", "url", U.authority("url").alias("_host")).join(
+        hosts.withColumnRenamed("host", "_host"), "_host", "left")
+    out = j.select("page_id", "url", F.when(F.col("_rules").isNull(), True).otherwise(
+        U.first_rule_allows(U.robots_target("url"), F.col("_rules"))).alias("allowed_by_rules"))
     eff = F.lit(True) if override else F.col("allowed_by_rules")
     return out.withColumn("effective", eff)
 

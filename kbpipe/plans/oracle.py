@@ -88,8 +88,8 @@ FP = sub(fx.FETCHED_PAGES.format(pages="pages"))
 CASE_NOTES = sub(fx.CASE_NOTES.format(customer="customer"))
 QUESTIONS = sub(fx.QUESTIONS.format(conversations="conversations"))
 VERDICTS = sub(fx.VERDICTS.format(labels="labels"))
-TEXTS = sub(f"SELECT doc_id AS text_id, text FROM documents UNION ALL "
-            f"SELECT note_id + {reg.TEXT_ID_OFFSET} AS text_id, text FROM {CASE_NOTES}")
+TEXTS = sub(f"SELECT 'd' || doc_id AS text_id, text FROM documents UNION ALL "
+            f"SELECT 'n' || note_id AS text_id, text FROM {CASE_NOTES}")
 
 FMT = ("CASE WHEN ends_with(lower(url), '.pdf') OR contains(lower(content_type), 'application/pdf') "
        "THEN 'pdf' WHEN ends_with(lower(url), '.docx') THEN 'docx' "
@@ -122,17 +122,17 @@ def entities(x: str) -> str:
 def main_text(html: str) -> str:
     h = inert(html)
     arms = " ".join(
-        f"WHEN regexp_matches({h}, '(?i)<{t}\\b') THEN "
-        f"regexp_extract({h}, '(?is)<{t}\\b[^>]*>(.*?)(?:</{t}\\s*>|\\z)', 1)"
+        f"WHEN regexp_matches({h}, '(?i)<{t}(?:[\\s/][^>]*)?>') THEN "
+        f"regexp_extract({h}, '(?is)<{t}(?:[\\s/][^>]*)?>(.*?)(?:</{t}\\s*>|\\z)', 1)"
         for t in ("main", "article", "body"))
     c = f"(CASE {arms} END)"
     for t in ("nav", "footer", "header"):
-        c = rr(c, rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>", " ")
-    c = rr(c, r"<[^>]*>", " ")
+        c = rr(c, rf"(?is)<{t}(?:[\s/][^>]*)?>.*?</{t}\s*>", " ")
+    c = rr(c, r"<[A-Za-z/!?][^>]*>", " ")
     return f"trim({rr(entities(c), S + '+', ' ')})"
 
 
-ANCHOR = r"""(?is)<a\s[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+ANCHOR = r"""(?is)<a\s(?:[^>]*?[\s"'])?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 ORIGIN = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
 AUTH = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 
@@ -258,12 +258,12 @@ FROM {sub(fx.CODE_URLS.format(pages='pages'))}"""
     target = (f"CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$', 1) = '' "
               f"THEN '/' ELSE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$', 1) END")
     o["robots_audit"] = f"""
-SELECT page_id, url,
-       COALESCE(CASE WHEN starts_with(t, '/en') THEN false WHEN starts_with(t, '/en/6') THEN true
-                     WHEN starts_with(t, '/fr/1') THEN false WHEN starts_with(t, '/') THEN true END,
-                true) AS allowed_by_rules,
-       true AS effective
-FROM (SELECT page_id, url, {target} AS t FROM pages)"""
+WITH r AS ({fx.ROBOTS_RULES.format(pages='pages')}),
+u AS (SELECT page_id, url, {target} AS t, regexp_extract(url, {lit(AUTH)}, 1) AS host FROM pages),
+d AS (SELECT u.page_id, arg_min(r.allow, r.rule_no) AS allow
+      FROM u JOIN r ON r.host = u.host AND starts_with(u.t, r.path) GROUP BY u.page_id)
+SELECT u.page_id, u.url, COALESCE(d.allow, true) AS allowed_by_rules, true AS effective
+FROM u LEFT JOIN d ON d.page_id = u.page_id"""
 
     # redaction
     for name, fn in (("normalise_ws", r1), ("redact_email", r2), ("redact_phone", r3),
@@ -312,8 +312,8 @@ SELECT doc_id, text FROM docs WHERE text <> ''"""
     # chunking
     para = ("array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: "
             "CASE WHEN i > 1 AND (i - 1) % 3 = 0 THEN chr(10) || l ELSE l END), chr(10))")
-    chunk_in = sub(f"SELECT doc_id, {para} AS text FROM documents UNION ALL "
-                   f"SELECT note_id + {reg.TEXT_ID_OFFSET} AS doc_id, text FROM {CASE_NOTES}")
+    chunk_in = sub(f"SELECT 'd' || doc_id AS doc_id, {para} AS text FROM documents UNION ALL "
+                   f"SELECT 'n' || note_id AS doc_id, text FROM {CASE_NOTES}")
     pieces = sub(f"""
 WITH d AS (SELECT doc_id, text, _found AS names FROM {staged(chunk_in)}),
 p AS (SELECT doc_id, names, unnest(range(len(ps))) AS chunk_no, unnest(ps) AS piece
@@ -376,7 +376,7 @@ FROM {GATED} GROUP BY status"""
 WITH w AS (SELECT conv_id, turn, unnest(range(len(ws))) AS pos, unnest(ws) AS word
            FROM (SELECT conv_id, turn, string_split(text, ' ') AS ws FROM conversations
                  WHERE role = 'assistant')),
-c AS (SELECT conv_id, turn * 1000000 + pos AS seq,
+c AS (SELECT conv_id, turn * 2147483648 + pos AS seq,
              CASE WHEN pos % 4 = 3 THEN '' ELSE word || ' ' END AS chunk FROM w)
 SELECT conv_id, string_agg(chunk, '' ORDER BY seq) AS answer FROM c WHERE chunk <> '' GROUP BY conv_id"""
     o["transcripts"] = ("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript, "

@@ -26,7 +26,7 @@ from kbpipe.plans import ingest as ingest_plan
 from kbpipe.plans.ingest import knowledge_points
 from kbpipe.session import scratch_path, spread
 from kbpipe.sources import backup, store
-from kbpipe.sources.fixtures import ROBOTS_TXT, Fixtures
+from kbpipe.sources.fixtures import Fixtures
 from kbpipe.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +37,6 @@ ALERT_THRESHOLD = 3
 RETENTION_QUERY_DAYS = 7
 EMBEDDINGS_DIM = 64
 RUN_ID = "run-0"
-TEXT_ID_OFFSET = 1_000_000_000
 
 
 def query(fn: Query) -> Query:
@@ -45,11 +44,16 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def _key(prefix: str, col: str):
+    """Ids of two tables in one column, told apart by a prefix."""
+    return F.concat(F.lit(prefix), F.col(col).cast("string"))
+
+
 def _texts(spark, sf) -> DataFrame:
     """Documents plus case notes: ``(text_id, text)``."""
     f = Fixtures(spark, sf)
-    d = Tables(spark, sf).documents.select(F.col("doc_id").alias("text_id"), "text")
-    n = f.case_notes().select((F.col("note_id") + TEXT_ID_OFFSET).alias("text_id"), "text")
+    d = Tables(spark, sf).documents.select(_key("d", "doc_id").alias("text_id"), "text")
+    n = f.case_notes().select(_key("n", "note_id").alias("text_id"), "text")
     return spread(d.unionByName(n))
 
 
@@ -122,7 +126,7 @@ def frontier(spark, sf):
 
 @query
 def robots_audit(spark, sf):
-    return Wb.robots_audit(Tables(spark, sf).pages, ROBOTS_TXT)
+    return Wb.robots_audit(Tables(spark, sf).pages, Fixtures(spark, sf).robots_rules())
 
 
 # ------------------------------------------------------------------ redaction
@@ -222,8 +226,8 @@ def upload_check(spark, sf):
 
 def _chunk_input(spark, sf) -> DataFrame:
     f = Fixtures(spark, sf)
-    p = f.paragraph_docs().select("doc_id", "text")
-    n = f.case_notes().select((F.col("note_id") + TEXT_ID_OFFSET).alias("doc_id"), "text")
+    p = f.paragraph_docs().select(_key("d", "doc_id").alias("doc_id"), "text")
+    n = f.case_notes().select(_key("n", "note_id").alias("doc_id"), "text")
     return spread(p.unionByName(n))
 
 
@@ -303,14 +307,17 @@ def crawl_points(spark, sf):
     return pts.select("id", "source", "type", "text", F.size("vector").cast("bigint").alias("n_dims"))
 
 
-@query
-def knowledge_append(spark, sf):
-    docs = Tables(spark, sf).documents
-    pts = knowledge_points(docs, RUN_ID)
+def _knowledge_table(spark, sf) -> DataFrame:
+    """``documents`` ingested into a new knowledge table, read back."""
     path = scratch_path(spark, "knowledge")
     store.ensure_table(spark, path)
-    store.append_points(pts, path)
-    k = store.read_table(spark, path)
+    store.append_points(knowledge_points(Tables(spark, sf).documents, RUN_ID), path, run_id=RUN_ID)
+    return store.read_table(spark, path)
+
+
+@query
+def knowledge_append(spark, sf):
+    k = _knowledge_table(spark, sf)
     return k.select("id", "text", "source", "type", F.size("vector").cast("bigint").alias("n_dims"))
 
 
@@ -336,9 +343,10 @@ def safety_gate(spark, sf):
 
 
 def _answers(spark, sf):
+    """Questions against the stored knowledge table: the corpus is written
+    once, and the search reads stored ids, vectors, texts and sources."""
     f = Fixtures(spark, sf)
-    pts = knowledge_points(Tables(spark, sf).documents, RUN_ID)
-    return answer_questions(f.questions(), f.verdicts(), pts)
+    return answer_questions(f.questions(), f.verdicts(), _knowledge_table(spark, sf))
 
 
 @query

@@ -97,15 +97,15 @@ FROM {documents}
 """
 
 CODE_URLS = """
-SELECT page_id AS id, url FROM {pages}
+SELECT 'p' || CAST(page_id AS STRING) AS id, url FROM {pages}
 UNION ALL
-SELECT page_id + 1000000000 AS id,
+SELECT 'c' || CAST(page_id AS STRING) AS id,
        'https://github.com/u' || CAST(page_id AS STRING) || '/r/blob/main/f.md' AS url
 FROM {pages}
 """
 
 QUESTIONS = """
-SELECT conv_id * 1000 + turn AS qid, conv_id,
+SELECT CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS qid, conv_id,
        CASE WHEN (conv_id + turn) % 20 = 0 THEN '   ' ELSE text END AS prompt
 FROM {conversations}
 WHERE role = 'user'
@@ -123,12 +123,13 @@ FROM {events}
 WHERE event_type = 'purchase'
 """
 
-# The robots file used by the audit query (first match wins)
-ROBOTS_TXT = """User-agent: *
-Disallow: /en
-Allow: /en/6
-Disallow: /fr/1
-Allow: /
+# rules of every crawled host; they differ by host (first match wins)
+ROBOTS_RULES = """
+WITH h AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS host FROM {pages})
+SELECT host, 0 AS rule_no, '/en' AS path, false AS allow FROM h WHERE length(host) % 3 < 2
+UNION ALL SELECT host, 1 AS rule_no, '/en/6' AS path, true AS allow FROM h
+UNION ALL SELECT host, 2 AS rule_no, '/fr/1' AS path, false AS allow FROM h WHERE length(host) % 2 = 0
+UNION ALL SELECT host, 3 AS rule_no, '/' AS path, length(host) % 5 <> 0 AS allow FROM h WHERE length(host) % 7 <> 0
 """
 
 
@@ -149,6 +150,9 @@ class Fixtures:
     def fetched_pages(self) -> DataFrame:
         return portable(self.spark, FETCHED_PAGES, pages=self.t.pages)
 
+    def robots_rules(self) -> DataFrame:
+        return portable(self.spark, ROBOTS_RULES, pages=self.t.pages)
+
     def raw_bytes(self, with_html: bool = False) -> DataFrame:
         html = ", html" if with_html else ""
         return portable(self.spark,
@@ -209,5 +213,5 @@ class Fixtures:
         w = c.select("conv_id", "turn", F.posexplode(F.split("text", " ", -1)).alias("pos", "word"))
         return w.select(
             "conv_id",
-            (F.col("turn") * 1000000 + F.col("pos")).alias("seq"),
+            (F.col("turn") * (1 << 31) + F.col("pos")).alias("seq"),
             F.when(F.col("pos") % 4 == 3, F.lit("")).otherwise(F.concat("word", F.lit(" "))).alias("chunk"))

@@ -6,6 +6,8 @@ import pytest
 import __spark_entry__ as E
 from check_oracles import digest
 from conftest import SF_SMALL
+from kbpipe.plans.oracle import ORACLES
+from kbpipe.plans.registry import QUERIES
 from kbpipe.sources.tables import TABLES
 
 
@@ -18,10 +20,11 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     s = E.queries()[name](spark, SF_SMALL).toPandas()
     d = con.execute(E.oracle_sql()[name]).df()

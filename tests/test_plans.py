@@ -3,7 +3,10 @@
 import pytest
 
 from conftest import SF_SMALL
+from kbpipe.plans.ingest import knowledge_points
 from kbpipe.plans.registry import QUERIES
+from kbpipe.sources.fixtures import Fixtures
+from kbpipe.sources.tables import Tables
 
 
 def optimized(spark, name):
@@ -29,15 +32,22 @@ def test_each_regex_stage_once(spark, name, max_replace, max_extract):
 
 
 def test_embedding_udf_runs_once_and_top_k_limits_before_shuffle(spark):
+    points = knowledge_points(Tables(spark, SF_SMALL).documents, "run")
+    assert points._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     p = executed(spark, "rag_prompt")
-    assert p.count("ArrowEvalPython") == 1 and p.count("MapInArrow") == 1
-    assert "WindowGroupLimit" in p and "Partial" in p
+    assert p.count("MapInArrow") == 1 and "WindowGroupLimit" in p and "Partial" in p
+
+
+def test_answers_search_the_stored_table(spark):
+    p = executed(spark, "rag_prompt")
+    assert p.count("ReadSchema: struct<id:string,vector:array<float>,text:string,source:string>") == 1
+    assert "documents.parquet" not in p and "regexp_extract_all" not in p
 
 
 def test_filters_and_pruning_reach_the_scan(spark):
     p = executed(spark, "question_check")
     assert "PushedFilters: [IsNotNull(role), EqualTo(role,user)]" in p
-    p = executed(spark, "budget_alert")
+    p = Fixtures(spark, SF_SMALL).costs()._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_type,purchase)" in p and "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,event_type:string,value:double>" in p
     p = executed(spark, "request_alert")
     assert "ReadSchema: struct<ts:timestamp_ntz>" in p

@@ -37,6 +37,11 @@ def test_dropped_blocks_and_entities(spark):
     assert text_of(spark, html) == "A &lt; B © C D"
 
 
+def test_less_than_signs_and_longer_tag_names_are_no_tags(spark):
+    html = "<body><main-menu>Menu</main-menu><p>5 < 6 kg and 7 > 3</p><navy>Blue</navy></body>"
+    assert text_of(spark, html) == "Menu 5 < 6 kg and 7 > 3 Blue"
+
+
 def test_unclosed_body_runs_to_end(spark):
     assert text_of(spark, "<html><body><p>cut off") == "cut off"
 
@@ -106,15 +111,23 @@ def test_frontier_dedups_and_skips_visited(spark):
     assert [r["url"] for r in Wb.frontier(links, visited).collect()] == ["https://x.org/a"]
 
 
-def test_robots_first_match_and_override(spark):
-    robots = "User-agent: *\nDisallow: /private\nAllow: /private/ok\n\nUser-agent: other\nDisallow: /\n"
+def robots_rules(spark, rows):
+    return spark.createDataFrame(rows, "host string, rule_no int, path string, allow boolean")
+
+
+def test_robots_first_match_per_host_and_override(spark):
+    rules = robots_rules(spark, [("x.org", 1, "/private/ok", True), ("x.org", 0, "/private", False),
+                                 ("other.org", 0, "/", False), ("free.org", 0, "", False)])
     df = spark.createDataFrame([(1, "https://x.org/private/ok"), (2, "https://x.org/public"),
-                                (3, "https://x.org/private")], "page_id bigint, url string")
+                                (3, "https://x.org/private"), (4, "https://other.org/public"),
+                                (5, "https://free.org/private"), (6, "https://none.org/private"), (7, None)],
+                               "page_id bigint, url string")
     out = {r["page_id"]: (r["allowed_by_rules"], r["effective"])
-           for r in Wb.robots_audit(df, robots).collect()}
-    assert out == {1: (False, True), 2: (True, True), 3: (False, True)}
-    strict = {r["page_id"]: r["effective"] for r in Wb.robots_audit(df, robots, override=False).collect()}
-    assert strict == {1: False, 2: True, 3: False}
+           for r in Wb.robots_audit(df, rules).collect()}
+    assert out == {1: (False, True), 2: (True, True), 3: (False, True), 4: (False, True),
+                   5: (True, True), 6: (True, True), 7: (True, True)}
+    strict = {r["page_id"]: r["effective"] for r in Wb.robots_audit(df, rules, override=False).collect()}
+    assert strict == {1: False, 2: True, 3: False, 4: False, 5: True, 6: True, 7: True}
 
 
 def test_crawl_records_end_to_end(spark):
@@ -148,17 +161,8 @@ def test_pdf_record_takes_decoded_text(spark):
     assert Wb.crawl_records(fetched).count() == 0      # nothing decoded -> dropped
 
 
-def test_robots_parser_groups_and_empty_disallow():
-    from kbpipe.functions.urls import parse_robots
-    txt = ("# comment\nUser-agent: *\nDisallow:\n\nUser-agent: MyBot\nUser-agent: other\n"
-           "Disallow: /private # trailing\nAllow: /private/ok\n")
-    assert parse_robots(txt, "anybody") == [(0, True, "")]
-    assert parse_robots(txt, "mybot/2.0") == [(0, False, "/private"), (1, True, "/private/ok")]
-    assert parse_robots("", "x") == []
-
-
 def test_robots_star_path_and_encoding(spark):
-    robots = "User-agent: *\nDisallow: /a b\nAllow: *\n"
+    rules = robots_rules(spark, [("x.org", 0, "/a b", False), ("x.org", 1, "*", True)])
     df = spark.createDataFrame([(1, "https://x.org/a%20b/c"), (2, "https://x.org/z")], "page_id bigint, url string")
-    out = {r["page_id"]: r["allowed_by_rules"] for r in Wb.robots_audit(df, robots).collect()}
+    out = {r["page_id"]: r["allowed_by_rules"] for r in Wb.robots_audit(df, rules).collect()}
     assert out == {1: False, 2: True}
