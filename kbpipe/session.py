@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "kbpipe",
-                  shuffle_partitions: int | None = None,
+                  shuffle_partitions: int | None = None, spread_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
     """Session with AQE on and a UTC clock.
 
@@ -41,6 +41,8 @@ def build_session(master: str | None = None, app: str = "kbpipe",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if spread_partitions:
+        conf[SPREAD] = str(spread_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -126,41 +128,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-_WIDE = ("Repartition", "Aggregate", "Join", "Window", "Sort", "Deduplicate", "Expand",
-         "Generate", "Limit", "Sample", "PythonUDF", "MapInArrow", "MapInPandas")
+SPREAD = "spark.kbpipe.spreadPartitions"
 
 
-def is_narrow(df: DataFrame) -> bool:
-    """True for plans made only of scans, projections, filters and unions."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return not any(w in plan for w in _WIDE)
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over ``partitions`` tasks, or as many as the session
+    names in ``spark.kbpipe.spreadPartitions``; as it is when neither is
+    given.
 
-
-SPREAD_MAX_BYTES = 2 << 30   # never reshuffle an input larger than this
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin small inputs over the cluster's cores.
-
-    A small parquet file with one row group is read by a single task; the
-    text operators downstream are CPU-heavy, so such inputs are spread.
-    Only small inputs qualify (the optimizer's size estimate is below
-    ``SPREAD_MAX_BYTES``): a large table is split by
-    ``spark.sql.files.maxPartitionBytes`` and is never reshuffled here, even
-    on a cluster with more cores than it has splits. Only narrow plans
-    (scans, projections, filters, unions) are inspected: their partition
-    count is known from planning alone, while asking a plan with a shuffle
-    would make adaptive execution run that shuffle first.
+    For inputs of fewer files and row groups than cores, in front of the
+    CPU-heavy text operators. It costs a shuffle of the input, so it is the
+    deployment's choice and off by default: a large table is already split by
+    ``spark.sql.files.maxPartitionBytes``.
     """
-    qe = df._jdf.queryExecution()
-    plan = qe.optimizedPlan()
-    if any(w in plan.toString() for w in _WIDE):
-        return df
-    if int(plan.stats().sizeInBytes()) > SPREAD_MAX_BYTES:
-        return df
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
+    n = partitions or df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(n)) if n else df

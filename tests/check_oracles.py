@@ -56,7 +56,7 @@ def main():
         spark = SparkSession.builder.master("local[8]").getOrCreate()
         spark.sparkContext.setLogLevel("ERROR")
     else:
-        spark = build_session("local[8]", shuffle_partitions=8)
+        spark = build_session("local[8]", shuffle_partitions=8, spread_partitions=8)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")

@@ -12,7 +12,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from kbpipe.session import build_session
-    s = build_session("local[4]", app="kbpipe-tests", shuffle_partitions=4)
+    s = build_session("local[4]", app="kbpipe-tests", shuffle_partitions=4, spread_partitions=4)
     # tests set their own shared folder only because none is configured here
     if not s.conf.get("spark.checkpoint.dir", None):
         d = tempfile.mkdtemp(prefix="kbpipe-test-ckpt-")

@@ -4,13 +4,15 @@ import kbpipe.session as S
 from kbpipe.sources.tables import Tables
 
 
-def test_spread_only_small_narrow_inputs(spark, sf, monkeypatch):
+def test_spread_is_the_callers_or_the_sessions_choice(spark, sf):
     d = Tables(spark, sf).documents
-    assert S.spread(d).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
-    wide = d.groupBy("lang").count()
-    assert S.spread(wide) is wide                      # never asks a shuffled plan
-    monkeypatch.setattr(S, "SPREAD_MAX_BYTES", 10)
-    assert S.spread(d) is d                            # large inputs are not reshuffled
+    assert S.spread(d, 7).rdd.getNumPartitions() == 7
+    assert S.spread(d).rdd.getNumPartitions() == 4     # as these tests' session says
+    spark.conf.unset(S.SPREAD)
+    try:
+        assert S.spread(d) is d                        # off by default, whatever the size
+    finally:
+        spark.conf.set(S.SPREAD, "4")
 
 
 def test_checkpoint_root_and_materialize(spark):
