@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbpipe.functions.text import py_strip
-from kbpipe.operators.common import computed, listagg_ordered, ordered_concat
+from kbpipe.operators.common import ORDERED_BLOCK, computed, listagg_ordered, ordered_concat
 
 
 def _ordered(text: str, sep: str, *order: str):
@@ -60,12 +60,15 @@ def assemble_paragraphs(paragraphs: DataFrame) -> DataFrame:
 def assemble_cells(cells: DataFrame) -> DataFrame:
     """Per row: non-NULL cells as strings joined by spaces (rows without any
     are skipped); rows joined by spaces in sheet, row order; strip; empty
-    documents dropped."""
+    documents dropped. Runs of a sheet's rows are joined before a document's
+    runs meet, so a huge workbook spreads over many tasks."""
     c = cells.where(F.col("value").isNotNull())
     c = c.withColumn("value", F.col("value").cast("string"))
     rows = c.groupBy("doc_id", "sheet_no", "row_no").agg(
         _ordered("value", " ", "col_no").alias("row_text"))
-    docs = rows.groupBy("doc_id").agg(_ordered("row_text", " ", "sheet_no", "row_no").alias("text"))
+    run = F.floor(F.col("row_no") / F.lit(ORDERED_BLOCK)).alias("run_no")
+    runs = rows.groupBy("doc_id", "sheet_no", run).agg(_ordered("row_text", " ", "row_no").alias("run_text"))
+    docs = runs.groupBy("doc_id").agg(_ordered("run_text", " ", "sheet_no", "run_no").alias("text"))
     return computed(docs, text=py_strip("text")).where(F.col("text") != "")
 
 

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbpipe.functions import redact as R
-from kbpipe.functions.embed import DEFAULT_DIM, hashed_embedding_sparse
 from kbpipe.functions import text as TX
 from kbpipe.operators import assemble as A
 from kbpipe.operators import chunk as C
@@ -37,6 +36,7 @@ ALERT_THRESHOLD = 3
 RETENTION_QUERY_DAYS = 7
 EMBEDDINGS_DIM = 64
 RUN_ID = "run-0"
+SMALL_DIM = 64              # vectors of the queries that test storage, not search
 
 
 def query(fn: Query) -> Query:
@@ -85,7 +85,8 @@ def legacy_placeholder(spark, sf):
 
 @query
 def crawl_records(spark, sf):
-    return Wb.crawl_records(spread(Fixtures(spark, sf).raw_bytes(with_html=True)))
+    f = Fixtures(spark, sf)
+    return Wb.crawl_records(spread(f.raw_bytes(with_html=True)), f.decoded_text())
 
 
 @query
@@ -258,16 +259,18 @@ def chunk_counts(spark, sf):
 @query
 def embed_text(spark, sf):
     d = spread(Tables(spark, sf).documents)
-    e = d.select("doc_id", hashed_embedding_sparse("text", DEFAULT_DIM).alias("v"))
-    x = explode_rows(e, F.col("v"), None, "e", "doc_id")
+    e = retrieve.embed(d.select("doc_id", "text"), "text", "v")
+    entries = F.transform("v", lambda w, i: F.struct(i.cast("bigint").alias("bucket"), w.alias("weight")))
+    x = explode_rows(e, F.filter(entries, lambda x: x["weight"] != 0), None, "e", "doc_id")
     return x.select("doc_id", F.col("e.bucket").alias("bucket"),
                     F.round(F.col("e.weight").cast("double"), 6).alias("weight"))
 
 
 @query
 def vector_dim_check(spark, sf):
-    e = Tables(spark, sf).embeddings
-    return retrieve.vector_dim_check(e, "embedding", EMBEDDINGS_DIM).select("vec_id", "n_dims", "accepted")
+    probes = _probe_questions(Tables(spark, sf).embeddings)
+    return retrieve.vector_dim_check(probes, "qvec", EMBEDDINGS_DIM).select(
+        F.col("qid").alias("vec_id"), "n_dims", "accepted")
 
 
 @query
@@ -321,6 +324,35 @@ def knowledge_append(spark, sf):
     return k.select("id", "text", "source", "type", F.size("vector").cast("bigint").alias("n_dims"))
 
 
+@query
+def ensure_collection(spark, sf):
+    """Create the table, write points, create it again: nothing is lost."""
+    path = scratch_path(spark, "collection")
+    first = store.ensure_table(spark, path), store.read_table(spark, path).count()
+    store.append_points(knowledge_points(Tables(spark, sf).documents, RUN_ID, SMALL_DIM), path, SMALL_DIM, RUN_ID)
+    second = store.ensure_table(spark, path), store.read_table(spark, path).count()
+    return spark.createDataFrame([(1, *first), (2, *second)], "attempt bigint, created boolean, n_points bigint")
+
+
+@query
+def knowledge_mixed(spark, sf):
+    """One table, four writers of the same documents: a batch run, the same
+    source again, and two streams with checkpoints of their own. Every
+    writer's points stay, under ids of their own."""
+    from kbpipe.streaming.ingest import start_ingest
+    d = Tables(spark, sf).documents
+    src, path = scratch_path(spark, "docs-in"), scratch_path(spark, "kb-mixed")
+    store.ensure_table(spark, path)
+    for run in (RUN_ID, "run-1"):
+        store.append_points(knowledge_points(d, run, SMALL_DIM), path, SMALL_DIM, run)
+    d.repartition(4).write.parquet(src)
+    for name in ("a", "b"):
+        start_ingest(spark, src, d.schema, path, scratch_path(spark, f"backup-{name}"),
+                     scratch_path(spark, f"ck-{name}"), dim=SMALL_DIM, max_files_per_trigger=2).awaitTermination()
+    return store.read_table(spark, path).groupBy("text", "source").agg(
+        F.count(F.lit(1)).alias("n_points"), F.count_distinct("id").alias("n_ids"))
+
+
 # ------------------------------------------------------------------ questions
 
 @query
@@ -445,6 +477,19 @@ def restore_backup(spark, sf):
     return r.select("source", "text", "restored")
 
 
+@query
+def restore_index(spark, sf):
+    """Both backup layouts (one object per file: the benchmark items; JSON
+    Lines: the redacted case notes) restored into a knowledge table."""
+    folder, path = _note_backup(spark, sf), scratch_path(spark, "restored")
+    items = Tables(spark, sf).benchmark.select(
+        F.concat(F.lit("item://"), F.col("item_id").cast("string")).alias("url"), "text")
+    items.write.mode("append").option("maxRecordsPerFile", 1).json(folder)
+    store.append_points(ingest_plan.restore_points(spark, folder, RUN_ID, SMALL_DIM), path, SMALL_DIM, RUN_ID)
+    return store.read_table(spark, path).select("source", "text", "restored",
+                                                F.size("vector").cast("bigint").alias("n_dims"))
+
+
 # ------------------------------------------------------------------ streaming
 
 @query
@@ -470,7 +515,7 @@ def ingest_stream(spark, sf):
     from kbpipe.streaming.ingest import start_ingest
     d = Tables(spark, sf).documents
     src, table, bk, ck = (scratch_path(spark, n) for n in ("docs-in", "kb", "kb-backup", "kb-ck"))
-    d.write.parquet(src)
-    start_ingest(spark, src, d.schema, table, bk, ck).awaitTermination()
+    d.repartition(4).write.parquet(src)
+    start_ingest(spark, src, d.schema, table, bk, ck, max_files_per_trigger=2).awaitTermination()
     k = store.read_table(spark, table)
     return k.select("text", "source", "type", F.size("vector").cast("bigint").alias("n_dims"))

@@ -82,12 +82,19 @@ FROM {pages}
 
 # the body of each fetched page, as text; cast to bytes per dialect
 RAW_CONTENT_TEXT = """
-CASE page_id % 4 WHEN 0 THEN chr(10) || html
+CASE (page_id + CAST(floor(page_id / 8) AS BIGINT)) % 4
+                 WHEN 0 THEN chr(10) || html
                  WHEN 1 THEN lower(substr(html, 1, 9)) || substr(html, 10)
                  WHEN 2 THEN html
                  ELSE '%PDF-1.4 ' || substr(html, 16) END
 """
 
+# what the byte decoders made of each fetched page; some documents are empty
+DECODED_TEXT = """
+SELECT page_id, CASE WHEN page_id % 11 = 0 THEN '' ELSE 'Decoded text of ' || url END AS text
+FROM {fetched}
+"""
+
 UPLOAD_NAMES = """
 SELECT doc_id AS id,
        'doc_' || CAST(doc_id AS STRING) ||
@@ -160,6 +167,9 @@ class Fixtures:
                         f"CAST({RAW_CONTENT_TEXT} AS BINARY) AS content FROM {{fp}}",
                         fp=self.fetched_pages())
 
+    def decoded_text(self) -> DataFrame:
+        return portable(self.spark, DECODED_TEXT, fetched=self.fetched_pages())
+
     def upload_names(self) -> DataFrame:
         return portable(self.spark, UPLOAD_NAMES, documents=self.t.documents)
 
