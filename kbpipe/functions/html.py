@@ -7,7 +7,7 @@ hold markup-like text); (2) pick the first ``main``, else ``article``, else
 (3) drop ``nav``, ``footer`` and ``header`` blocks inside it; (4) every tag
 becomes a space; (5) decode entities, ``&amp;`` last; (6) collapse
 whitespace. Known limits: nested same-name blocks, unclosed dropped blocks,
-entities outside the fixed list.
+named entities outside the fixed list.
 """
 
 from __future__ import annotations
@@ -36,10 +36,28 @@ def container(h: Column) -> Column:
     return expr
 
 
+def _character(code: Column) -> Column:
+    """``8217`` or ``x2019`` -> the character; U+FFFD where there is none."""
+    n = F.when(F.lower(code).startswith("x"), F.conv(F.substr(code, F.lit(2)), 16, 10)).otherwise(code).cast("int")
+    bad = (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    n = F.when(bad, F.lit(0xFFFD)).otherwise(n)
+    return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+
+
+def _numeric_entities(c: Column) -> Column:
+    codes = F.array_distinct(F.regexp_extract_all(c, F.lit(rx.NUMERIC_ENTITY), 1))
+    return F.when(c.contains("&#"), F.aggregate(codes, c, lambda text, code: F.replace(
+        text, F.concat(F.lit("&#"), code, F.lit(";")), _character(code)))).otherwise(c)
+
+
 def decode_entities(c: Column) -> Column:
-    for ent, ch in rx.HTML_ENTITIES:
+    """Named entities of the fixed list, then numeric ones, ``&amp;`` last."""
+    *named, (amp, ampersand) = rx.HTML_ENTITIES
+    for ent, ch in named:
         c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    # the element of a one-element array: the chain above is evaluated once
+    c = F.transform(F.array(c), _numeric_entities)[0]
+    return F.replace(c, F.lit(amp), F.lit(ampersand))
 
 
 def main_text(html) -> Column:

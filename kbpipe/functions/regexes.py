@@ -78,8 +78,13 @@ HTML_TAG = r"<[A-Za-z/!?][^>]*>"     # "5 < 6" is text
 HTML_ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
     ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"),
-    ("&middot;", "·"), ("&amp;", "&"),
+    ("&middot;", "·"), ("&pound;", "£"), ("&euro;", "€"), ("&ndash;", "–"),
+    ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
+    ("&rdquo;", "”"), ("&hellip;", "…"), ("&bull;", "•"), ("&deg;", "°"),
+    ("&frac12;", "½"), ("&eacute;", "é"), ("&reg;", "®"), ("&trade;", "™"),
+    ("&amp;", "&"),
 ]
+NUMERIC_ENTITY = r"&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
 ANCHOR_HREF = r"""(?is)<a\s(?:[^>]*?[\s"'])?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 URL_SCHEME_AUTHORITY = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"

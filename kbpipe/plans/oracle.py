@@ -109,7 +109,10 @@ def inert(h: str) -> str:
 
 
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", "chr(160)"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&amp;", "'&'")]
+            ("&nbsp;", "chr(160)"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&pound;", "'£'"), ("&euro;", "'€'"),
+            ("&ndash;", "'–'"), ("&mdash;", "'—'"), ("&lsquo;", "'‘'"), ("&rsquo;", "'’'"), ("&ldquo;", "'“'"),
+            ("&rdquo;", "'”'"), ("&hellip;", "'…'"), ("&bull;", "'•'"), ("&deg;", "'°'"), ("&frac12;", "'½'"),
+            ("&eacute;", "'é'"), ("&reg;", "'®'"), ("&trade;", "'™'"), ("&amp;", "'&'")]
 
 
 def entities(x: str) -> str:

@@ -42,6 +42,12 @@ def test_less_than_signs_and_longer_tag_names_are_no_tags(spark):
     assert text_of(spark, html) == "Menu 5 < 6 kg and 7 > 3 Blue"
 
 
+def test_named_and_numeric_entities(spark):
+    html = ("<body>&pound;5 it&#8217;s &#x2019;&#X1F600; caf&eacute; &#233; &#0;&#xD800;&#1114112; "
+            "&amp;#39; &#38;lt; &unknown; &# 5; AT&T</body>")
+    assert text_of(spark, html) == "£5 it’s ’\U0001F600 café é \ufffd\ufffd\ufffd &#39; &lt; &unknown; &# 5; AT&T"
+
+
 def test_unclosed_body_runs_to_end(spark):
     assert text_of(spark, "<html><body><p>cut off") == "cut off"
 
