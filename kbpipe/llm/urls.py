@@ -37,6 +37,22 @@ RULES = (
 # Hosts are listed if a label of theirs holds one of these words.
 LISTED_WORDS = ("spam", "pills", "casino", "porn", "xxx", "warez", "phish", "malware")
 
+# Further categories, as whole words of a host's labels: "ads" lists
+# ads-track.example.com but not downloads.example.com.
+LISTED_LABELS = {
+    "advertising": ("ad", "ads", "adclick", "adnetwork", "adserver", "adservers", "adservice", "adtrack",
+                    "adtracking", "advert", "adverts", "advertising", "clicktrack", "clicktracking", "popunder",
+                    "tracking"),
+    "betting": ("bet", "bets", "betting", "bookie", "bookies", "bookmaker", "bookmakers", "gamble", "gambling",
+                "jackpot", "jackpots", "lotto", "lottery", "poker", "roulette", "slots", "sportsbet", "sportsbook",
+                "wager", "wagers"),
+    "adult": ("adult", "adults", "camgirl", "camgirls", "erotic", "erotica", "escort", "escorts", "hentai", "milf",
+              "nsfw", "nude", "nudes", "sex", "sexcam", "sexcams", "sexy", "xrated"),
+}
+# Top-level domains that are a category of their own (their labels are not
+# searched for the words above: .ad is a country).
+LISTED_TLDS = ("adult", "bet", "casino", "poker", "porn", "sex", "sexy", "xxx")
+
 MAX_LEVEL_BYTES = 64 << 20     # a broadcast level is never larger
 SEEDS = (17, 71)
 FINAL_BYTES = 32 << 10         # a level may take this much to make no mistake at all
@@ -177,6 +193,18 @@ def is_spam_host(host: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(host, F.lit(w)) for w in LISTED_WORDS])
 
 
+def is_listed_host(host: Column) -> Column:
+    """Whether a host is of a listed category: by a part of its name
+    (``LISTED_WORDS``), a word of its labels (cut at everything that is not a
+    letter) or its top-level domain. User and port are left aside."""
+    name = F.regexp_replace(host, r"(?s)^.*@|:[0-9]*$", "")
+    name = F.regexp_replace(name, r"\.$", "")
+    below = F.split(F.regexp_replace(name, r"\.[^.]*$", ""), r"[^\p{L}]+")
+    words = [w for ws in LISTED_LABELS.values() for w in ws]
+    return (is_spam_host(host) | F.arrays_overlap(below, F.array(*[F.lit(w) for w in words]))
+            | F.regexp_extract(name, r"\.([^.]*)$", 1).isin(*LISTED_TLDS))
+
+
 def add_membership(df: DataFrame, key: str, out: str, keys: DataFrame, scratch: Scratch,
                    shards: int | None = None, final_bytes: int = FINAL_BYTES) -> DataFrame:
     """``df`` plus boolean ``out``: whether column ``key`` is listed, exact for
@@ -214,7 +242,7 @@ def _add_shard(df: DataFrame, out: str, levels: list[Level], shard: int, shards:
     return arrow_map(df, run, schema)
 
 
-def filter_urls(pages: DataFrame, rules=RULES, is_listed=is_spam_host) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, is_listed=is_listed_host) -> DataFrame:
     """``page_id, host, path, rule, verdict`` of every url.
 
     The longest fitting rule decides; without one, hosts on the list (their

@@ -218,6 +218,16 @@ def test_urls(spark):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
+def test_hosts_of_listed_categories(spark):
+    listed = ["m.free-bets.example.com", "www.ads-track.example.org", "adult-x.example.org", "spam-farm.example.org",
+              "bet365.org", "ads.news.org", "u:p@ads.org:80", "some.name.bet", "some.name.sex.", "bestpills.org"]
+    other = ["downloads.example.org", "roads.org", "visit.ad", "alphabet.org", "betsy.org", "essex.org", "loadster.com",
+             "ads@news.org", "f\u00f6ad.org", "track-field.org", "example.org", "10.0.0.1", "", "tracker-free.org"]
+    df = spark.createDataFrame([(i, f"http://{h}/x") for i, h in enumerate(listed + other)], "page_id bigint, url string")
+    got = {r.page_id: r.verdict for r in urls.filter_urls(df, rules=()).collect()}
+    assert [h for i, h in enumerate(listed + other) if got[i] == "block"] == listed
+
+
 @pytest.mark.parametrize("share,shards,final", [(0.02, None, 32 << 10), (0.5, None, 1 << 10), (0.98, None, 32 << 10),
                                                 (0.0, None, 0), (1.0, None, 0), (0.1, 2, 128)])
 def test_cascade_is_exact_for_the_whole_universe(spark, share, shards, final):
