@@ -19,15 +19,29 @@ from kbpipe.llm.common import free_name
 _LOCAL = "[A-Za-z0-9._%+-]"
 _LABEL = "[A-Za-z0-9-]"
 
+# Length of an account number by country (ISO 13616 registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_IBAN_RUN = r"[0-9]{2}(?:\x20?[A-Z0-9])"
+_IBAN = "|".join(f"(?:{c.replace(' ', '|')}){_IBAN_RUN}{{{n - 4}}}+" for n, c in IBAN_LENGTHS.items())
+
 # Kind -> (guard, pattern). The first four match the query contract's rules.
 PATTERNS = {
     "email": ("@", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++"),
     "ip": (".", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": ("", r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": ("+", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    # added by the method: account numbers under the mod-97 checksum
-    "iban": ("", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"),
+    # added by the method: account numbers under the mod-97 checksum, as long as
+    # the country's are; where none ends there or for other countries, the whole run.
+    # Group 1 is the number; only its head is taken, so that a run which fails
+    # the checksum doesn't hide a number that starts inside it.
+    "iban": ("", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9])(?=((?:{_IBAN}|[A-Z]{{2}}{_IBAN_RUN}{{11,30}}+)(?![A-Za-z0-9])))"
+                 r"[A-Z]{2}[0-9]{2}"),
 }
+HEAD = {"iban": 4}       # code points that a match takes, where that isn't all of it
 BASE_KINDS = ("email", "ip", "card", "phone")
 MAX_IP_PART = 255
 CARD_DIGITS = (16, 19)
@@ -96,14 +110,17 @@ _SPAN = "array<struct<kind:string,start:bigint,end:bigint,match:string,score:dou
 
 def _found(kind: str, text: Column) -> Column:
     """Per match (and once for what follows the last): the text before it
-    (``gap``), the match (NULL at the end), and their lengths."""
+    (``gap``), the match (NULL at the end), the length of the one and what the
+    other takes of the text."""
     guard, pattern = PATTERNS[kind]
     tried = text.contains(guard) if guard else text.rlike("[0-9]")
     return F.when(tried, F.transform(
         F.arrays_zip(F.split(text, pattern, -1).alias("gap"),
-                     F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match")),
+                     F.regexp_extract_all(text, F.lit(pattern), F.lit(1 if kind in HEAD else 0)).alias("match")),
         lambda x: F.struct(x["gap"].alias("gap"), F.length(x["gap"]).alias("before"),
-                           F.coalesce(F.length(x["match"]), F.lit(0)).alias("len"), x["match"].alias("match"))))
+                           F.when(x["match"].isNull(), 0).otherwise(
+                               F.lit(HEAD[kind]) if kind in HEAD else F.length(x["match"])).alias("len"),
+                           x["match"].alias("match"))))
 
 
 def _total(part: Column) -> Column:
@@ -132,7 +149,7 @@ def _spans(kind: str, found: Column, starts: Column) -> Column:
         near = F.lower(F.substring(x["gap"], -CONTEXT, CONTEXT))
         bonus = F.when(near.rlike(rf"\b(?:{CONTEXT_WORDS[kind]})"), CONTEXT_BONUS).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), at.cast("bigint").alias("start"),
-                        (at + x["len"]).cast("bigint").alias("end"), x["match"].alias("match"),
+                        (at + F.length(x["match"])).cast("bigint").alias("end"), x["match"].alias("match"),
                         (F.lit(BASE_SCORE[kind]) + bonus).alias("score"))
 
     good = F.transform(found, lambda x, i: F.when(
@@ -182,11 +199,16 @@ def redacted(docs: DataFrame) -> DataFrame:
     without a match are unchanged; ``n_chars``, where there is one, follows
     the text where it changed."""
     p = free_name("pii_", [c[:4] for c in docs.columns])
-    new, f = f"{p}text", f"{p}found"
+    new, f, over = f"{p}text", f"{p}found", f"{p}over"
     df = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").alias(new))
     for kind in PATTERNS:
         df = _once(df, [*docs.columns, new], **{f: _found(kind, F.col(new))})
-        df = _once(df, docs.columns, **{new: F.coalesce(F.array_join(_parts(F.col(f), kind), ""), F.col(new))})
+        if kind in HEAD:
+            df = _once(df, [*docs.columns, new, f], **{over: _overhangs(F.col(f), kind)})
+            parts = _parts_beyond_heads(F.col(f), F.col(over), kind)
+        else:
+            parts = _parts(F.col(f), kind)
+        df = _once(df, docs.columns, **{new: F.coalesce(F.array_join(parts, ""), F.col(new))})
     cols = []
     for c in docs.columns:
         e = F.col(f"`{c}`")
@@ -201,3 +223,27 @@ def redacted(docs: DataFrame) -> DataFrame:
 def _parts(found: Column, kind: str) -> Column:
     return F.transform(found, lambda x: F.concat(x["gap"], F.when(x["match"].isNull(), "").when(
         confirmed(kind, x["match"]), PLACEHOLDERS[kind]).otherwise(x["match"])))
+
+
+_REACH = 16      # matches that can start within one: 34 characters and 33 spaces, a head and a space each
+
+
+def _overhangs(found: Column, kind: str) -> Column:
+    """How far each confirmed match reaches beyond its head."""
+    return F.transform(found, lambda x: F.when(
+        x["match"].isNotNull() & confirmed(kind, x["match"]), F.length(x["match"]) - x["len"]).otherwise(0))
+
+
+def _parts_beyond_heads(found: Column, over: Column, kind: str) -> Column:
+    """``_parts`` where matches reach into the following gaps; NULL without a
+    confirmed match. Numbers that overlap get one placeholder."""
+    def part(x: Column, i: Column) -> Column:
+        covered = F.when(i > 0, F.aggregate(
+            F.sequence(F.greatest(i - _REACH, F.lit(0)), i - 1), F.lit(0),
+            lambda left, j: F.greatest(left - F.get(found, j)["before"] - F.get(found, j)["len"],
+                                       F.get(over, j)))).otherwise(0)
+        own = F.when(x["match"].isNull() | (covered > x["before"]), "").when(
+            F.get(over, i) > 0, PLACEHOLDERS[kind]).otherwise(F.substring(x["match"], 1, HEAD[kind]))
+        return F.concat(F.substring(x["gap"], covered + 1, x["before"]), own)
+
+    return F.when(F.exists(over, lambda n: n > 0), F.transform(found, part))

@@ -167,6 +167,38 @@ def test_pii_tricky_texts(spark):
                                                                      "GB82WEST12345698765432"]
 
 
+IBANS = [       # text, its account numbers, redacted
+    ("DE89 3704 0044 0532 0130 00 Please pay", ["DE89 3704 0044 0532 0130 00"], "<IBAN> Please pay"),
+    ("to GB82WEST12345698765432 Thanks", ["GB82WEST12345698765432"], "to <IBAN> Thanks"),
+    ("DE89370400440532013000 BIC COBADEFFXXX", ["DE89370400440532013000"], "<IBAN> BIC COBADEFFXXX"),
+    ("DE89370400440532013000 12 EUR", ["DE89370400440532013000"], "<IBAN> 12 EUR"),
+    ("DE89370400440532013000 GB82 WEST 1234 5698 7654 32 X", ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"],
+     "<IBAN> <IBAN> X"),
+    ("FR12 DE89 3704 0044 0532 0130 00 OK", ["DE89 3704 0044 0532 0130 00"], "FR12 <IBAN> OK"),
+    ("é AB12 GB82WEST12345698765432", ["GB82WEST12345698765432"], "é AB12 <IBAN>"),
+    ("MT84 MALT 0110 0001 2345 MTLC AST0 01S A1", ["MT84 MALT 0110 0001 2345 MTLC AST0 01S"], "<IBAN> A1"),
+    ("NO93 8601 1117 947 Oslo", ["NO93 8601 1117 947"], "<IBAN> Oslo"),
+    ("DE88370400440532013000 BIC FR12 AA11", [], "DE88370400440532013000 BIC FR12 AA11"),
+]
+
+
+def test_account_numbers_before_capitals_and_digits(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(IBANS)], "doc_id bigint, text string")
+    found = {r.doc_id: [s for s in r.pii if s.kind == "iban"] for r in pii.find_pii(df).collect()}
+    new = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    for i, (t, want, redacted) in enumerate(IBANS):
+        assert [s.match for s in found[i]] == want and new[i] == redacted, t
+        assert all(t[s.start:s.end] == s.match for s in found[i])
+
+
+def test_many_account_numbers_take_linear_time(spark):
+    good, n = "DE89 3704 0044 0532 0130 00 X ", 5_000
+    df = spark.createDataFrame([(0, good * n), (1, "DE11 " * 40_000)], "doc_id bigint, text string")
+    t0 = time.time()
+    new = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    assert new[0] == "<IBAN> X " * n and time.time() - t0 < 60
+
+
 def test_pii_edge(spark, edge, edge_rows):
     out = pii.find_pii(edge, "pii_")
     assert out.columns == [*edge.columns, "pii_"] and out.count() == len(edge_rows)
