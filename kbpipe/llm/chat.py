@@ -17,7 +17,7 @@ import math
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbpipe.llm.common import Scratch, arrow_map, texts
@@ -214,20 +214,24 @@ def extract_results(messages: DataFrame) -> DataFrame:
 
 def link_tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """One row per call and per result without a call: ``conv_id, turn, pos,
-    call_id, name, status, problems, result_turn, line``.
+    call_id, name, status, problems, result_turn, line, more_results``.
 
     ``turn, pos`` order the calls of a conversation so that each follows what
     it refers to. ``status``: ``ok``; ``invalid`` (``problems`` says why: a
     missing id, an unknown tool, arguments against the schema, a cycle);
-    ``duplicate`` (the identifier is used before in the conversation);
+    ``duplicate`` (the identifier is used before in the turn, or in the
+    conversation and no result follows this use);
     ``unresolved`` (a reference without an earlier result); ``unanswered``
     (no result at or after the call); ``orphan`` (a result without a call).
     ``line`` is the canonical JSON of the linked pair.
 
     Defined cases: text that isn't JSON, NULL and empty texts hold nothing;
     NULL conversations and turns link like values (a NULL turn comes first);
-    of several results of one call, the earliest at or after it counts (ties:
-    the smallest content); repeated rows are duplicates; other columns are
+    a result belongs to the latest turn at or before it that uses its
+    identifier; of several results of one call, the earliest counts (ties: the
+    smallest content) and ``more_results`` (turn, content) holds the others in
+    the same order; a reference is served by any earlier result of its
+    identifier; repeated rows are duplicates; other columns are
     ignored; empty tables give empty tables.
     """
     scratch = Scratch(messages.sparkSession, "chat")
@@ -236,36 +240,55 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     calls = scratch.write(extract_calls(messages, schemas).select(
         "*", key.alias("ck"), at.alias("ct"), F.monotonically_increasing_id().alias("uid")))
     results = scratch.write(extract_results(messages).select("*", key.alias("ck"), at.alias("rt")))
-    # the first call that uses an identifier owns it
-    first = (calls.where("call_id is not null").groupBy("ck", "call_id")
-             .agg(F.min(F.struct("ct", "pos", "uid")).alias("own")))
-    owners = first.select("ck", "call_id", F.col("own.ct").alias("own_ct"), F.col("own.uid").alias("own_uid"))
-    tagged = results.join(owners, ["ck", "call_id"], "left")
-    answers = (tagged.where("own_uid is not null and rt >= own_ct").groupBy("ck", "call_id")
-               .agg(F.min(F.struct("rt", "content", "turn")).alias("ans")))
-    answers = scratch.write(owners.join(answers, ["ck", "call_id"], "left").select(
-        "ck", "call_id", "own_uid", "own_ct", "ans"))
+    # the first call of a turn that uses an identifier owns the results from
+    # there until a later turn uses it again
+    owners = calls.where("call_id is not null").groupBy("ck", "call_id", "ct").agg(
+        F.min(F.struct("pos", "uid"))["uid"].alias("own_uid"))
+    events = owners.select("ck", "call_id", F.col("ct").alias("at"), "own_uid", F.lit(False).alias("is_result")) \
+        .unionByName(results.select("ck", "call_id", F.col("rt").alias("at"), F.lit(True).alias("is_result"), "conv_id",
+                                    "turn", "content"), allowMissingColumns=True)
+    w = Window.partitionBy("ck", "call_id").orderBy("at", "is_result")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tagged = events.withColumns({
+        "owner": F.last("own_uid", ignorenulls=True).over(so_far),
+        "own_ct": F.last(F.when(~F.col("is_result"), F.col("at")), ignorenulls=True).over(so_far),
+        "first_ct": F.first(F.when(~F.col("is_result"), F.col("at")), ignorenulls=True).over(so_far)})
+    # results before any use have no owner
+    answers = tagged.groupBy("ck", "call_id", "owner", "own_ct", "first_ct").agg(
+        F.sort_array(F.collect_list(F.when(F.col("is_result"), F.struct(
+            F.col("at").alias("rt"), "content", "turn")))).alias("answers"), F.max("conv_id").alias("conv_id"))
+    answers = scratch.write(answers.select(
+        "conv_id", "ck", "call_id", F.col("owner").alias("own_uid"), "own_ct",
+        (F.col("own_ct") == F.col("first_ct")).alias("first"), F.get("answers", F.lit(0)).alias("ans"),
+        F.transform(F.expr("slice(answers, 2, size(answers))"),
+                    lambda a: F.struct(a["turn"], a["content"])).alias("more")))
     # a reference is served by a result of an earlier turn, or by a call of the
     # same message that has a result
+    answered = answers.where("own_uid is not null and ans is not null").select(
+        "ck", F.col("call_id").alias("ref"), "own_ct", "ans.rt")
     refs = calls.select("uid", "ck", "ct", F.explode("refs").alias("ref"))
-    served = refs.join(answers.select("ck", F.col("call_id").alias("ref"), "ans", "own_ct"), ["ck", "ref"], "left")
-    unresolved = served.groupBy("uid").agg(F.max(~F.coalesce(
-        F.col("ans").isNotNull() & ((F.col("ans.rt") <= F.col("ct")) | (F.col("own_ct") == F.col("ct"))),
-        F.lit(False))).alias("open"))
-    linked = (calls.join(answers, ["ck", "call_id"], "left").join(unresolved, "uid", "left"))
-    mine = F.col("own_uid") == F.col("uid")
-    status = (F.when(F.size("problems") > 0, "invalid").when(~mine, "duplicate")
+    served = refs.join(answered.groupBy("ck", "ref").agg(F.min("rt").alias("rt")), ["ck", "ref"], "left").join(
+        answered.select("ck", "ref", F.col("own_ct").alias("ct"), F.lit(True).alias("here")), ["ck", "ref", "ct"], "left")
+    unresolved = served.groupBy("uid").agg(F.max(~(
+        F.coalesce(F.col("rt") <= F.col("ct"), F.lit(False)) | F.coalesce("here", F.lit(False)))).alias("open"))
+    linked = (calls.join(answers.select(F.col("own_uid").alias("uid"), "first", "ans", "more"), "uid", "left")
+              .join(unresolved, "uid", "left"))
+    unused = F.col("first").isNull() | (~F.col("first") & F.col("ans").isNull())
+    status = (F.when(F.size("problems") > 0, "invalid").when(unused, "duplicate")
               .when(F.coalesce("open", F.lit(False)), "unresolved")
               .when(F.col("ans").isNull(), "unanswered").otherwise("ok"))
+    none = F.expr("cast(array() as array<struct<turn: bigint, content: string>>)")
     rows = linked.select(
         "conv_id", "turn", "pos", "call_id", "name", status.alias("status"), "problems",
-        F.when(mine, F.col("ans.turn")).alias("result_turn"), "arguments",
-        F.when(mine, F.col("ans.content")).alias("content"))
-    orphans = tagged.where("own_uid is null or rt < own_ct").select(
+        F.col("ans.turn").alias("result_turn"), "arguments", F.col("ans.content").alias("content"),
+        F.coalesce("more", none).alias("more_results"))
+    orphans = answers.where("own_uid is null").select("conv_id", "call_id", F.explode(F.concat(
+        F.array(F.struct("ans.turn", "ans.content")), "more")).alias("ans")).select(
         "conv_id", F.lit(None).cast("bigint").alias("turn"), F.lit(None).cast("int").alias("pos"), "call_id",
         F.lit(None).cast("string").alias("name"), F.lit("orphan").alias("status"),
-        F.expr("cast(array() as array<string>)").alias("problems"), F.col("turn").alias("result_turn"),
-        F.lit(None).cast("string").alias("arguments"), "content")
+        F.expr("cast(array() as array<string>)").alias("problems"), F.col("ans.turn").alias("result_turn"),
+        F.lit(None).cast("string").alias("arguments"), F.col("ans.content").alias("content"),
+        none.alias("more_results"))
     both = rows.unionByName(orphans)
     # keys in alphabetical order; the parts are canonical JSON already
     line = F.concat(
@@ -273,7 +296,7 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         F.lit(',"id":'), _json_string("call_id"), F.lit(',"name":'), _json_string("name"),
         F.lit(',"result":'), F.coalesce("content", F.lit("null")), F.lit("}"))
     return both.select("conv_id", "turn", "pos", "call_id", "name", "status", "problems", "result_turn",
-                       line.alias("line"))
+                       line.alias("line"), "more_results")
 
 
 def _json_string(col: str):

@@ -379,6 +379,24 @@ def test_tool_calls(spark):
     assert chat.link_tool_calls(df.limit(0), SCHEMAS).count() == 0
 
 
+def test_tool_calls_with_identifiers_that_restart(spark):
+    ref = {"x": {"$ref": "a"}}
+    rows = [(1, 0, "tool", result("a", 0)), (1, -1, "tool", result("a", -1)), (1, 1, "assistant", message(("a", "f", {"x": 1}))),
+            (1, 2, "tool", result("a", "two")), (1, 2, "tool", result("a", "more")), (1, 3, "tool", result("a", "later")),
+            (1, 4, "assistant", message(("a", "f", {"x": 2}), ("a", "f", {"x": 3}), ("b", "f", ref))),
+            (1, 5, "tool", result("a", "five")), (1, 5, "tool", result("b", "b")),
+            (1, 6, "assistant", message(("a", "f", {"x": 4}))),
+            (2, 1, "assistant", message(("a", "f", {"x": 1}))), (2, 2, "tool", result("a", "other"))]
+    out = chat.link_tool_calls(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"),
+                               SCHEMAS).collect()
+    got = sorted((r.conv_id, r.turn or 0, r.pos or 0, r.call_id, r.status, json.loads(r.line)["result"],
+                  [tuple(m) for m in r.more_results]) for r in out)
+    assert got == [
+        (1, 0, 0, "a", "orphan", -1, []), (1, 0, 0, "a", "orphan", 0, []), (1, 1, 0, "a", "ok", "more", [(2, '"two"'), (3, '"later"')]),
+        (1, 4, 0, "a", "ok", "five", []), (1, 4, 1, "a", "duplicate", None, []), (1, 4, 2, "b", "ok", "b", []),
+        (1, 6, 0, "a", "duplicate", None, []), (2, 1, 0, "a", "ok", "other", [])]
+
+
 def test_op1_matches_plain_linking(spark, sf):
     conv = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
     want = {}
