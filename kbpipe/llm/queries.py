@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbpipe.llm import chat, decontam, langid, license_scan, lm, packing, pii, quality, simhash, urls
+from kbpipe.llm import (chat, decontam, filter_audit, langid, license_scan, lm, neighbours, packing, pii, prefix_trie,
+                        quality, simhash, urls)
 from kbpipe.llm.common import table
 
 # Tools of the messages that op1 derives from ``conversations``.
@@ -95,6 +96,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return neighbours.score_quality(docs, neighbours.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents", "doc_id", "text", "source"),
+                                      table(spark, sf_dir, "labels"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -102,4 +117,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_tool_calls, op2_license_scan, op3_simhash, op4_quality_rules, op5_ctw_score, op6_pii, op7_url_filter,
-    op8_language_id, op9_best_fit_packing, op10_decontamination, pipeline)}
+    op8_language_id, op9_best_fit_packing, op10_decontamination, op11_quality_votes, op12_filter_audit,
+    op13_prefix_trie, pipeline)}
