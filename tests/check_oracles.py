@@ -35,13 +35,14 @@ def _norm(v):
 
 
 def digest(pdf: pd.DataFrame) -> tuple[int, list[str], str]:
-    cols = sorted(pdf.columns)
-    rows = sorted("\x1f".join(_norm(v) for v in r) for r in pdf[cols].itertuples(index=False))
-    return len(rows), cols, hashlib.sha256("\n".join(rows).encode()).hexdigest()[:16]
+    rows = rows_of(pdf)
+    return len(rows), sorted(pdf.columns), hashlib.sha256("\n".join(rows).encode()).hexdigest()[:16]
 
 
 def rows_of(pdf: pd.DataFrame) -> list[str]:
     cols = sorted(pdf.columns)
+    # DuckDB hands integers with NULLs over as Int64, Spark as float64
+    pdf = pdf.astype({c: "float64" for c in cols if str(pdf[c].dtype) in ("Int64", "Int32")})
     return sorted("\x1f".join(_norm(v) for v in r) for r in pdf[cols].itertuples(index=False))
 
 
