@@ -346,6 +346,7 @@ FROM (SELECT doc_id, names, chunk_no, {strip('piece')} AS chunk FROM p) WHERE ch
                              f"ELSE len(embedding) END AS BIGINT) AS n_dims FROM embeddings)")
     all_q = sub("SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings")
     o["cosine_top_k"] = cosine_sql(all_q, exclude_self=True)
+    o["clustered_top_k"] = o["cosine_top_k"]
     ok_q = sub("SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings "
                "WHERE vec_id % 7 <> 0")
     o["top_k_with_empty"] = (f"SELECT e.vec_id AS qid, CAST(count(h.id) AS BIGINT) AS n_hits, "

@@ -281,6 +281,17 @@ def cosine_top_k(spark, sf):
                                  dim=EMBEDDINGS_DIM, exclude_self=True)
 
 
+@query
+def clustered_top_k(spark, sf):
+    """The same search over a table rewritten in cluster order, with blocks of
+    questions that are too large to broadcast."""
+    e = Tables(spark, sf).embeddings
+    stored = store.compact(e, scratch_path(spark, "clustered"), "vec_id", "embedding", EMBEDDINGS_DIM)
+    return retrieve.cosine_top_k(stored, e, k=3, id_col="vec_id", vec_col="embedding",
+                                 qid_col="vec_id", qvec_col="embedding", dim=EMBEDDINGS_DIM, exclude_self=True,
+                                 max_broadcast_bytes=0)
+
+
 def _probe_questions(e: DataFrame) -> DataFrame:
     """Every vector as a question; every seventh arrives truncated, as if the
     embedding call had failed, and must come back without hits."""
