@@ -433,6 +433,8 @@ FROM p"""
     crawled = sub(f"SELECT url, text FROM (SELECT url, {main_text('html')} AS text FROM pages) "
                   f"WHERE text IS NOT NULL")
     o["backup_json"] = f"SELECT url, _red AS text, 'web_scraped' AS type FROM {redacted(crawled)}"
+    o["request_alarm_stream"] = f"SELECT *, CAST(1 AS BIGINT) AS n_raised FROM ({o['request_alert']})"
+    o["counter_export_stream"] = o["counter_export"]
     o["request_alert_stream"] = (f"SELECT * FROM ({o['request_alert']}) WHERE window_end <= "
                                  f"strftime((SELECT max(ts) FROM events) - INTERVAL 5 MINUTE, '{TS}')")
     o["ingest_stream"] = f"SELECT text, source, type, CAST({DIM} AS BIGINT) AS n_dims FROM {POINTS}"

@@ -36,6 +36,7 @@ ALERT_THRESHOLD = 3
 RETENTION_QUERY_DAYS = 7
 EMBEDDINGS_DIM = 64
 RUN_ID = "run-0"
+STATE_PARTITIONS = 4        # of the keyed-state streams
 SMALL_DIM = 64              # vectors of the queries that test storage, not search
 
 
@@ -519,6 +520,44 @@ def request_alert_stream(spark, sf):
     return res.where(F.to_timestamp("window_end") <= F.lit(horizon))
 
 
+def _in_slices(spark, sf, stream, slices: int = 2) -> tuple[str, str]:
+    """Runs ``stream(events)`` over the events table arriving in time order, a
+    slice of the time range per run; every run restarts from the checkpoint.
+    Returns the sink's folder and the checkpoint."""
+    from kbpipe.streaming.counters import start_append
+    e = Tables(spark, sf).events
+    src, out, ck = (scratch_path(spark, n) for n in ("slices-in", "slices-out", "slices-ck"))
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    lo, hi = e.agg(F.min(at), F.max(at)).first()
+    part = F.least(F.floor((at - lo) * slices / (hi - lo + 1)), F.lit(slices - 1))
+    for i in range(slices):
+        e.where(part == i).write.mode("append").parquet(src)
+        start_append(stream(spark.readStream.schema(e.schema).parquet(src)), out, ck,
+                     state_partitions=STATE_PARTITIONS).awaitTermination()
+    return out, ck
+
+
+@query
+def request_alarm_stream(spark, sf):
+    """The request alert with state: raised when the load is reached, final
+    counts from closed windows and, for the last ones, from the state."""
+    from kbpipe.streaming.counters import open_alarms, request_alarms
+    out, ck = _in_slices(spark, sf, lambda e: request_alarms(e, threshold=ALERT_THRESHOLD))
+    rows = spark.read.parquet(out)
+    final = rows.where("kind = 'closed'").unionByName(open_alarms(spark, ck)).drop("kind")
+    raised = rows.where("kind = 'raised'").groupBy("window_start").agg(F.count(F.lit(1)).alias("n_raised"))
+    return final.join(raised, "window_start", "left").select("window_start", "window_end", "n_requests", "n_raised")
+
+
+@query
+def counter_export_stream(spark, sf):
+    """The periodic counter export with state, over restarts; the last periods
+    come from the state."""
+    from kbpipe.streaming.counters import counter_exports, open_counters
+    out, ck = _in_slices(spark, sf, counter_exports)
+    return spark.read.parquet(out).unionByName(open_counters(spark, ck))
+
+
 @query
 def ingest_stream(spark, sf):
     """Documents as arriving files through the incremental ingest job; the

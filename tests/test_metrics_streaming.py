@@ -120,3 +120,51 @@ def test_running_sum_keeps_null_parts_and_needs_no_exchange_reuse(spark):
     for r in sorted(df.collect(), key=lambda r: (r["ts"], r["id"])):
         want[r["id"]] = sums[r["part"]] = sums.get(r["part"], 0) + r["v"]
     assert got == want
+
+
+def _alarms(spark, tmp, batches, threshold):
+    """Micro-batches of event times (seconds), one run each; rows by kind."""
+    from kbpipe.streaming import counters as K
+    src, out, ck = (str(tmp / n) for n in ("in", "out", "ck"))
+    seen = []
+    for secs in batches:
+        spark.createDataFrame([(dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s) if s is not None else None, "k")
+                               for s in secs], "ts timestamp_ntz, event_type string").write.mode("append").parquet(src)
+        s = spark.readStream.schema("ts timestamp_ntz, event_type string").parquet(src)
+        K.start_append(K.request_alarms(s, threshold=threshold), out, ck, state_partitions=2).awaitTermination(300)
+        seen.append(sorted(tuple(r) for r in spark.read.parquet(out).collect()))
+    return seen, sorted(tuple(r) for r in K.open_alarms(spark, ck).collect())
+
+
+def test_alarm_is_raised_at_the_crossing_and_once(spark, tmp_path):
+    runs, still_open = _alarms(spark, tmp_path, [[60, 70, None], [80, 90, 95], [3600]], threshold=3)
+    minutes = [f"2024-01-01 00:0{m}:00" for m in range(2)] + [f"2023-12-31 23:5{m}:00" for m in range(7, 10)]
+    ends = {"2024-01-01 00:00:00": "2024-01-01 00:05:00", "2024-01-01 00:01:00": "2024-01-01 00:06:00",
+            "2023-12-31 23:57:00": "2024-01-01 00:02:00", "2023-12-31 23:58:00": "2024-01-01 00:03:00",
+            "2023-12-31 23:59:00": "2024-01-01 00:04:00"}
+    raised = sorted((m, ends[m], 5, "raised") for m in minutes)
+    assert runs[0] == []                                        # two events: below the load
+    assert runs[1] == raised                                    # raised with the batch that reaches it
+    assert runs[2] == sorted(raised + [(m, ends[m], 5, "closed") for m in minutes])
+    assert still_open == []
+
+
+def test_open_windows_come_from_the_state(spark, tmp_path):
+    runs, still_open = _alarms(spark, tmp_path, [[0, 1, 2], [3]], threshold=3)
+    assert len(runs[1]) == 5 and {r[3] for r in runs[1]} == {"raised"}      # not raised again
+    assert [r[2:] for r in still_open] == [(4, "open")] * 5
+
+
+def test_counter_goes_on_after_a_restart_and_late_events_are_left_out(spark, tmp_path):
+    from kbpipe.streaming import counters as K
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    schema = "ts timestamp_ntz, event_type string"
+    for rows in ([(5, "a"), (6, "a"), (65, "a"), (7, "b"), (8, None)], [(66, "a"), (1200, "a")], [(10, "a"), (1201, "a")]):
+        spark.createDataFrame([(dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), k) for s, k in rows], schema) \
+            .write.mode("append").parquet(src)
+        K.start_append(K.counter_exports(spark.readStream.schema(schema).parquet(src)), out, ck, state_partitions=2).awaitTermination(300)
+    got = sorted((tuple(r) for r in spark.read.parquet(out).collect()), key=str)
+    assert got == sorted([("a", "2024-01-01 00:01:00", 2, 2), ("a", "2024-01-01 00:02:00", 2, 4),
+                          ("b", "2024-01-01 00:01:00", 1, 1), (None, "2024-01-01 00:01:00", 1, 1)], key=str)
+    # the event at second 10 came after its period was exported
+    assert [tuple(r) for r in K.open_counters(spark, ck).collect()] == [("a", "2024-01-01 00:21:00", 2, 6)]
