@@ -2,8 +2,8 @@
 
 Raw events never reach the state: every Arrow batch is first counted per key
 and minute inside its own partition, so a minute or an event type with a third
-of all events is a few rows per task. State is held per window (alarms) or
-per counter, event-time timers end it, and what is still open when a stream
+of all events is a few rows per task. State is held per day of windows (alarms)
+or per counter, event-time timers end it, and what is still open when a stream
 stops is read from its state store, so nothing waits for later events.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,7 +23,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from kbpipe.operators.metrics import REQUEST_ALERT_THRESHOLD, fmt_ts
 
 WATERMARK = "5 minutes"
-MINUTE_MS = 60_000
+MINUTE_MS, DAY_MS = 60_000, 86_400_000
 WINDOW_MINUTES, SLIDE_MINUTES = 5, 1      # the request alert's window and evaluation period
 _STATE = {"spark.sql.streaming.stateStore.providerClass":
           "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
@@ -65,39 +66,77 @@ def minute_counts(events: DataFrame, key: str | None = None, ts: str = "ts", wat
     return rows.mapInArrow(run, "key string, minute bigint, n bigint, last timestamp").withWatermark("last", watermark)
 
 
-class _Alarm(StatefulProcessor):
-    """State of one sliding window: its count, and whether it has been raised."""
+class _Open(StatefulProcessor):
+    """Base: one state value with the open spans of a key as sorted arrays
+    (start, count, ...), read and written once per call, and one timer at a
+    time, at the end of the earliest open span."""
+
+    def __init__(self, span_ms: int):
+        self.span_ms = span_ms
+
+    def _wait(self, starts: np.ndarray) -> None:
+        if len(starts):
+            self.handle.registerTimer(int(starts[0]) + self.span_ms)
+
+    def _merged(self, starts, counts, rows: Iterator[pd.DataFrame], of: str):
+        """(starts, counts) after the batch's partial counts."""
+        new = [(r[of].to_numpy(np.int64), r["n"].to_numpy(np.int64)) for r in rows]
+        at = np.concatenate([np.array(starts, np.int64), *(x for x, _ in new)])
+        n = np.concatenate([np.array(counts, np.int64), *(x for _, x in new)])
+        at, where = np.unique(at, return_inverse=True)
+        total = np.zeros(len(at), np.int64)
+        np.add.at(total, where, n)
+        return at, total
+
+    def _due(self, starts: np.ndarray, timerValues) -> int:
+        """Number of spans that the watermark has passed."""
+        return int(np.searchsorted(starts + self.span_ms, timerValues.getCurrentWatermarkInMs(), side="right"))
+
+    def close(self) -> None:
+        pass
+
+
+class _Alarm(_Open):
+    """State of the sliding windows that start on one day: counts, and which
+    have been raised."""
 
     def __init__(self, threshold: int, window_ms: int):
-        self.threshold, self.window_ms = threshold, window_ms
+        super().__init__(window_ms)
+        self.threshold = threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pane = handle.getValueState("pane", "n bigint, raised boolean")
+        self.panes = handle.getValueState("panes", "starts array<bigint>, counts array<bigint>, raised array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        (start,) = key
-        n, raised = self.pane.get() if self.pane.exists() else (0, False)
-        if not n:
-            self.handle.registerTimer(int(start) + self.window_ms)
-        n += sum(int(r["n"].sum()) for r in rows)
-        reached = n >= self.threshold
-        if reached and not raised:
-            yield self._row(start, n, "raised")
-        self.pane.update((n, bool(reached)))
+        old, counts, raised = self.panes.get() if self.panes.exists() else ([], [], [])
+        starts, n = self._merged(old, counts, rows, "start")
+        reached = starts[n >= self.threshold]
+        now = np.setdiff1d(reached, np.array(raised, np.int64))
+        if len(now):
+            yield self._rows(now, n[np.searchsorted(starts, now)], "raised")
+        if not len(old):
+            self._wait(starts)
+        elif starts[0] < old[0]:
+            self.handle.deleteTimer(int(old[0]) + self.span_ms)
+            self._wait(starts)
+        self.panes.update((starts.tolist(), n.tolist(), reached.tolist()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.pane.exists():
-            n, raised = self.pane.get()
-            self.pane.clear()
-            if raised:
-                yield self._row(key[0], n, "closed")
-
-    def _row(self, start, n: int, kind: str) -> pd.DataFrame:
-        return pd.DataFrame({"start": [int(start)], "n_requests": [int(n)], "kind": [kind]})
-
-    def close(self) -> None:
-        pass
+        starts, n, raised = (np.array(x, np.int64) for x in self.panes.get())
+        due = self._due(starts, timerValues)
+        gone = np.isin(starts[:due], raised)
+        if gone.any():
+            yield self._rows(starts[:due][gone], n[:due][gone], "closed")
+        if due < len(starts):
+            self.panes.update((starts[due:].tolist(), n[due:].tolist(), np.intersect1d(raised, starts[due:]).tolist()))
+            self._wait(starts[due:])
+        else:
+            self.panes.clear()
+
+    @staticmethod
+    def _rows(starts, n, kind: str) -> pd.DataFrame:
+        return pd.DataFrame({"start": starts, "n_requests": n, "kind": kind})
 
 
 def _named(windows: DataFrame, window_minutes: int) -> DataFrame:
@@ -118,60 +157,55 @@ def request_alarms(events: DataFrame, threshold: int = REQUEST_ALERT_THRESHOLD,
     last_start = F.col("minute") - F.pmod("minute", F.lit(slide))
     panes = counts.withColumn("start", F.explode(F.sequence(
         last_start - (window_minutes * MINUTE_MS - slide), last_start, F.lit(slide))))
-    out = panes.groupBy("start").transformWithStateInPandas(
+    out = panes.withColumn("day", F.floor(F.col("start") / DAY_MS)).groupBy("day").transformWithStateInPandas(
         _Alarm(threshold, window_minutes * MINUTE_MS), "start bigint, n_requests bigint, kind string", "append", "eventtime")
     return _named(out, window_minutes)
 
 
+def _state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
+    return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+
+
 def open_alarms(spark: SparkSession, checkpoint: str, window_minutes: int = WINDOW_MINUTES) -> DataFrame:
     """Raised windows that a stopped alarm stream has not closed yet, with
     their counts so far."""
-    state = spark.read.format("statestore").option("stateVarName", "pane").load(checkpoint)
-    return _named(state.where("value.raised").select(
-        F.col("key.start").alias("start"), F.col("value.n").alias("n_requests"), F.lit("open").alias("kind")), window_minutes)
+    panes = _state(spark, checkpoint, "panes").select("value.raised", F.explode(
+        F.arrays_zip("value.starts", "value.counts")).alias("p"))
+    return _named(panes.where(F.array_contains("raised", F.col("p.starts"))).select(
+        F.col("p.starts").alias("start"), F.col("p.counts").alias("n_requests"), F.lit("open").alias("kind")), window_minutes)
 
 
-class _Counter(StatefulProcessor):
+class _Counter(_Open):
     """State of one counter: its value at the last export, and the counts of
     the periods that are still open."""
 
-    def __init__(self, period_ms: int):
-        self.period_ms = period_ms
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.total = handle.getValueState("total", "n bigint")
-        self.periods = handle.getMapState("periods", "start bigint", "n bigint")
+        self.counter = handle.getValueState("counter", "total bigint, starts array<bigint>, counts array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, int] = {}
-        for r in rows:
-            starts = r["minute"] // self.period_ms * self.period_ms
-            for start, n in r["n"].groupby(starts).sum().items():
-                new[int(start)] = new.get(int(start), 0) + int(n)
-        for start, n in new.items():
-            if self.periods.containsKey((start,)):
-                n += self.periods.getValue((start,))[0]
-            else:
-                self.handle.registerTimer(start + self.period_ms)
-            self.periods.updateValue((start,), (n,))
+        total, old, counts = self.counter.get() if self.counter.exists() else (0, [], [])
+        rows = (r.assign(start=r["minute"] // self.span_ms * self.span_ms) for r in rows)
+        starts, n = self._merged(old, counts, rows, "start")
+        if not len(old):
+            self._wait(starts)
+        elif starts[0] < old[0]:
+            self.handle.deleteTimer(int(old[0]) + self.span_ms)
+            self._wait(starts)
+        self.counter.update((int(total), starts.tolist(), n.tolist()))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        due = sorted((int(k[0]), int(v[0])) for k, v in self.periods.iterator() if k[0] + self.period_ms <= now)
-        total = int(self.total.get()[0]) if self.total.exists() else 0
-        out = []
-        for start, n in due:        # periods close in order, whatever order timers come in
-            total += n
-            out.append((key[0], start + self.period_ms, n, total))
-            self.periods.removeKey((start,))
-        if out:
-            self.total.update((total,))
-            yield pd.DataFrame(out, columns=["key", "at", "n_events", "cumulative"])
-
-    def close(self) -> None:
-        pass
+        total, starts, n = self.counter.get()
+        starts, n = np.array(starts, np.int64), np.array(n, np.int64)
+        due = self._due(starts, timerValues)
+        value = int(total) + np.cumsum(n[:due])
+        if due:
+            yield pd.DataFrame({"key": [key[0]] * due, "at": starts[:due] + self.span_ms, "n_events": n[:due],
+                                "cumulative": value})
+            total = int(value[-1])
+        self.counter.update((int(total), starts[due:].tolist(), n[due:].tolist()))
+        self._wait(starts[due:])
 
 
 def counter_exports(events: DataFrame, key: str = "event_type", period_minutes: int = 1, ts: str = "ts",
@@ -190,16 +224,12 @@ def counter_exports(events: DataFrame, key: str = "event_type", period_minutes:
 def open_counters(spark: SparkSession, checkpoint: str, key: str = "event_type", period_minutes: int = 1) -> DataFrame:
     """The periods that a stopped counter stream has not exported yet, as they
     would be exported next."""
-    def state(name: str) -> DataFrame:
-        return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
-
-    totals = state("total").select(F.col("key.key").alias("k"), F.col("value.n").alias("before"))
-    rest = state("periods").select(F.col("key.key").alias("key"), F.col("user_map_key.start").alias("start"),
-                                   F.col("user_map_value.n").alias("n_events"))
-    run = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    return rest.join(totals, F.col("key").eqNullSafe(F.col("k")), "left").select(
-        F.col("key").alias(key), fmt_ts(F.timestamp_millis(F.col("start") + period_minutes * MINUTE_MS)).alias("exported_at"),
-        "n_events", (F.sum("n_events").over(run) + F.coalesce("before", F.lit(0))).alias("cumulative"))
+    rest = _state(spark, checkpoint, "counter").select(F.col("key.key").alias("k"), "value.total", F.explode(
+        F.arrays_zip("value.starts", "value.counts")).alias("p"))
+    run = Window.partitionBy("k").orderBy("p.starts").rowsBetween(Window.unboundedPreceding, 0)
+    return rest.select(
+        F.col("k").alias(key), fmt_ts(F.timestamp_millis(F.col("p.starts") + period_minutes * MINUTE_MS)).alias("exported_at"),
+        F.col("p.counts").alias("n_events"), (F.sum("p.counts").over(run) + F.col("total")).alias("cumulative"))
 
 
 def start_append(stream: DataFrame, sink_dir: str, checkpoint: str, available_now: bool = True,
