@@ -28,7 +28,7 @@ def _reject(name: str):
 
 
 def parse(raw: bytes):
-    """Strict JSON value, or ValueError."""
+    """Strict JSON value, or ValueError (also for one nested too deep)."""
     try:
         return json.loads(raw, parse_constant=_reject)
     except RecursionError as e:
@@ -37,8 +37,20 @@ def parse(raw: bytes):
 
 def canonical(value) -> str:
     """Canonical JSON: sorted keys, no spaces, integral floats as integers,
-    all characters as themselves."""
-    return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    all characters as themselves. ValueError for what no UTF-8 text can hold:
+    numbers out of range and lone surrogates."""
+    text = json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    text.encode()
+    return text
+
+
+def _unicode(v) -> bool:
+    """Whether ``v`` is a string without lone surrogates."""
+    return isinstance(v, str) and not any("\ud800" <= c <= "\udfff" for c in v)
+
+
+def _number(v) -> bool:
+    return isinstance(v, (int, float)) and not isinstance(v, bool)
 
 
 def _plain(v):
@@ -53,8 +65,8 @@ def _plain(v):
 
 _TYPES = {
     "string": lambda v: isinstance(v, str),
-    "integer": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and v == int(v),
-    "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool),
+    "integer": lambda v: _number(v) and math.isfinite(v) and v == int(v),
+    "number": _number,
     "boolean": lambda v: isinstance(v, bool),
     "object": lambda v: isinstance(v, dict),
     "array": lambda v: isinstance(v, list),
@@ -75,11 +87,11 @@ def violations(value, schema: dict, path: str = "$") -> list[str]:
     if "type" in schema and not _TYPES[schema["type"]](value):
         return [f"{path}: not {schema['type']}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_same(value, e) for e in schema["enum"]):
         out.append(f"{path}: not in enum")
-    if "minimum" in schema and isinstance(value, (int, float)) and value < schema["minimum"]:
+    if "minimum" in schema and _number(value) and value < schema["minimum"]:
         out.append(f"{path}: below minimum")
-    if "maximum" in schema and isinstance(value, (int, float)) and value > schema["maximum"]:
+    if "maximum" in schema and _number(value) and value > schema["maximum"]:
         out.append(f"{path}: above maximum")
     if isinstance(value, dict):
         props = schema.get("properties", {})
@@ -95,6 +107,15 @@ def violations(value, schema: dict, path: str = "$") -> list[str]:
     return out
 
 
+def _same(a, b) -> bool:
+    """JSON equality: 1 and 1.0 are equal, 1 and true are not."""
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    return isinstance(a, bool) == isinstance(b, bool) and a == b
+
+
 def references(value) -> list[str]:
     """Identifiers that arguments refer to, in order of appearance."""
     out, todo = [], [value]
@@ -147,12 +168,13 @@ def calls_of(raw: bytes, schemas: dict[str, dict]) -> list[dict]:
     for c in found if isinstance(found, list) else ():
         c = c if isinstance(c, dict) else {}
         call_id, name, args = c.get("id"), c.get("name"), c.get("arguments")
-        call_id = call_id if isinstance(call_id, str) else None
-        name = name if isinstance(name, str) else None
-        problems = []
+        problems = [f"{what}: not Unicode" for what, v in (("id", call_id), ("name", name))
+                    if isinstance(v, str) and not _unicode(v)]
+        call_id = call_id if _unicode(call_id) else None
+        name = name if _unicode(name) else None
         if isinstance(args, str):       # arguments are often a JSON string themselves
             try:
-                args = parse(args.encode())
+                args = parse(args.encode())      # a lone surrogate is a ValueError here too
             except ValueError:
                 problems.append("$: not JSON")
                 args = None
@@ -168,7 +190,7 @@ def calls_of(raw: bytes, schemas: dict[str, dict]) -> list[dict]:
             text, args = None, None
             problems.append("$: not serialisable")
         rows.append({"call_id": call_id, "name": name, "arguments": text, "refs": references(args),
-                     "problems": problems})
+                     "problems": [p.encode(errors="replace").decode() for p in problems]})
     order, cyclic = topological([r["call_id"] or "" for r in rows],
                                 [[x for x in r["refs"] if x] for r in rows])
     for i in cyclic:
@@ -201,7 +223,7 @@ def extract_results(messages: DataFrame) -> DataFrame:
                                    texts(batch, "text")):
             try:
                 m = parse(raw)
-                if isinstance(m, dict) and isinstance(m.get("tool_call_id"), str):
+                if isinstance(m, dict) and _unicode(m.get("tool_call_id")):
                     content = canonical(m.get("content"))
                     for k, v in zip(out, (conv, turn, m["tool_call_id"], content)):
                         out[k].append(v)
@@ -225,7 +247,9 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     (no result at or after the call); ``orphan`` (a result without a call).
     ``line`` is the canonical JSON of the linked pair.
 
-    Defined cases: text that isn't JSON, NULL and empty texts hold nothing;
+    Defined cases: text that isn't JSON, NULL and empty texts hold nothing,
+    nor does a result whose id or content isn't Unicode text or holds a number
+    out of range; a message of any length is one row, parsed whole;
     NULL conversations and turns link like values (a NULL turn comes first);
     a result belongs to the latest turn at or before it that uses its
     identifier; of several results of one call, the earliest counts (ties: the

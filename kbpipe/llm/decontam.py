@@ -8,23 +8,23 @@ and the state names the items. Runs of words unknown to all items are skipped
 before the automaton sees them.
 
 Test items are read in blocks of bounded size (one block for any usual
-benchmark); every block's automaton scans all rows in turn, and each scan
-passes the rows and the hits found so far on to the next. No join, no
-shuffle.
+benchmark; an item that exceeds a block is cut into parts that overlap by a
+window less one word). Every block's automaton scans all rows in turn; between
+two scans rows and hits are written, so one automaton is alive at a time.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbpipe.llm.common import WORD_TABLE, arrow_map, free_name, texts, words
+from kbpipe.llm.common import WORD_TABLE, Scratch, arrow_map, free_name, texts, words
 
 WINDOW = 13
 COVERAGE_PCT = 5           # contaminated: hits are at least this share of the words
@@ -138,18 +138,34 @@ class Automaton:
         return out
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
-    """Lists of (item id, text) of at most ``block_bytes`` (a longer item is a
-    block of its own); items without an id have the empty id."""
+def _parts(ws: list[bytes], block_bytes: int, window: int) -> Iterator[list[bytes]]:
+    """An item's words in parts of about ``block_bytes`` that share ``window -
+    1`` words, so that every window lies in one of them."""
+    at = 0
+    while True:
+        end, size = at, 0
+        while end < len(ws) and (size < block_bytes or end < at + window):
+            size += len(ws[end]) + 1
+            end += 1
+        yield ws[at:end]
+        if end == len(ws):
+            return
+        at = end - window + 1
+
+
+def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, window: int = WINDOW):
+    """Lists of (item id, words) of at most ``block_bytes`` of text; items
+    without an id have the empty id."""
     block, size = [], 0
     for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"),
                                 F.col("text").cast("binary").alias("t")).distinct().toLocalIterator():
-        raw = bytes(row["t"] or b"")
-        if block and size + len(raw) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((row["i"], raw))
-        size += len(raw)
+        for part in _parts(words(bytes(row["t"] or b"")), block_bytes, window):
+            n = sum(map(len, part)) + len(part)
+            if block and size + n > block_bytes:
+                yield block
+                block, size = [], 0
+            block.append((row["i"], part))
+            size += n
     if block:
         yield block
 
@@ -167,10 +183,11 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
 _AUTOMATA: dict[str, Automaton] = {}     # per worker: automaton of a broadcast block
 
 
-def _scan(docs: DataFrame, text: str, hit: str, items: str, block, window: int,
+def _scan(docs: DataFrame, text: str, hit: str, items: str, n_words: str, block, window: int,
           keep_text: bool) -> DataFrame:
     """``docs`` with the block's hits added to columns ``hit`` (word spans as
-    a flat list start, end, ...) and ``items`` (item ids)."""
+    a flat list start, end, ...) and ``items`` (item ids), and the number of
+    words that the scan split the text into."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
     key = uuid.uuid4().hex
     names = docs.columns if keep_text else [c for c in docs.columns if c != text]
@@ -179,14 +196,16 @@ def _scan(docs: DataFrame, text: str, hit: str, items: str, block, window: int,
         auto = _AUTOMATA.get(key)
         if auto is None:
             _AUTOMATA.clear()
-            auto = _AUTOMATA[key] = Automaton(((i, words(t)) for i, t in shared.value), window)
-        new_hit, new_items = [], []
+            auto = _AUTOMATA[key] = Automaton(shared.value, window)
+        new_hit, new_items, sizes = [], [], []
         for raw, h, it in zip(texts(batch, text), batch.column(hit).to_pylist(), batch.column(items).to_pylist()):
-            found = auto.hits(words(raw))
+            ws = words(raw)
+            found = auto.hits(ws)
+            sizes.append(len(ws))
             spans = merged([*zip(h[::2], h[1::2]), *((a, b) for a, b, _ in found)])
             new_hit.append([x for s in spans for x in s])
             new_items.append(sorted({*it, *(i for _, _, ids in found for i in ids)}))
-        return {n: batch.column(n) for n in names} | {hit: new_hit, items: new_items}
+        return {n: batch.column(n) for n in names} | {hit: new_hit, items: new_items, n_words: sizes}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields
                        if f.name in names)
@@ -202,7 +221,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     Defined cases: NULL and empty texts have no words and are clean; items
     without words are nowhere; a NULL item id reads as the empty string;
-    repeated rows stay; columns that clash with a result column keep their
+    repeated rows stay; a text of any length is scanned whole, one pass a
+    block; columns that clash with a result column keep their
     name and the result column gets underscores appended; an empty benchmark
     leaves everything clean; an empty table gives an empty one.
     """
@@ -210,18 +230,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
             for k in ("n_words", "n_hit", "hit_spans", "hit_items", "contaminated")}
     df = docs.select("*", F.expr("cast(array() as array<bigint>)").alias(name["hit_spans"]),
                      F.expr("cast(array() as array<string>)").alias(name["hit_items"]),
-                     F.regexp_count(F.coalesce(F.col("text"), F.lit("")),
-                                    F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"))
-                     .cast("bigint").alias(name["n_words"]))
-    blocks = item_blocks(benchmark, block_bytes)
-    block = next(blocks, None)
+                     F.lit(0).cast("bigint").alias(name["n_words"]))
+    scratch = Scratch(docs.sparkSession, "decontam")
+    blocks = item_blocks(benchmark, block_bytes, window)
+    block, written = next(blocks, []), None      # without items the scan counts words only
     while block is not None:
         following = next(blocks, None)
-        df = _scan(df, "text", name["hit_spans"], name["hit_items"], block, window,
+        df = _scan(df, "text", name["hit_spans"], name["hit_items"], name["n_words"], block, window,
                    keep_text or following is not None)
+        if following is not None:
+            df = scratch.write(df)
+            if written is not None:
+                scratch.drop(written)
+            written = df
         block = following
-    if not keep_text:
-        df = df.drop("text")
     spans = F.col(name["hit_spans"])
     # ends minus starts: odd positions add, even positions subtract
     n_hit = F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)),
@@ -244,6 +266,13 @@ def _original_spans(raw: bytes, spans: list[int]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
+def removable_words(spans: Column, min_words: int = WINDOW) -> Column:
+    """Words that ``remove_spans`` cuts out: those of spans of at least
+    ``min_words`` (a flat list start, end, ...)."""
+    sizes = F.transform(spans, lambda end, i: F.when(i % 2 == 1, end - F.get(spans, i - 1)).otherwise(0))
+    return F.aggregate(F.filter(sizes, lambda n: n >= min_words), F.lit(0).cast("bigint"), lambda a, n: a + n)
+
+
 def remove_spans(found: DataFrame, spans: str = "hit_spans", min_words: int = WINDOW) -> DataFrame:
     """``found`` (of ``find_contamination``) with the hit spans of at least
     ``min_words`` words cut out of ``text``."""

@@ -54,7 +54,7 @@ WITH d AS (
 ), p AS (
   SELECT mean, CASE WHEN v > 0 THEN least(1000, greatest(1, mean * (1 - mean) / v - 1)) ELSE 1000 END AS k FROM s
 ), verdict AS (
-  SELECT source, (failed + mean * k) / (docs + k) >= {quality.BAD_HOST} AS host_bad FROM h, p
+  SELECT source, (failed + mean * k) / (docs + k) > mean + {quality.BAD_HOST_Z} * sqrt(mean * (1 - mean) / (k + 1)) AS host_bad FROM h, p
 ), j AS (
   SELECT f.*, host_bad, f1::INT + f2::INT + f3::INT + f4::INT + f5::INT AS own
   FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source
@@ -113,13 +113,19 @@ d AS (
   FROM (SELECT r, n, words, unnest(range(0, len(words) - n + 1)) AS i FROM d, sizes WHERE len(words) >= n)
 ), m AS (
   SELECT dw.r, dw.i, dw.n, bw.item FROM dw JOIN bw ON dw.n = bw.n AND dw.s = bw.s
+), word AS (
+  SELECT DISTINCT r, unnest(range(i, i + n)) AS j FROM m
+), stretch AS (
+  SELECT r, count(*) AS n FROM (SELECT r, j - row_number() OVER (PARTITION BY r ORDER BY j) AS g FROM word)
+  GROUP BY r, g
 ), hit AS (
-  SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM m) GROUP BY r
+  SELECT r, sum(n) AS n_hit, sum(n) FILTER (n >= {_N}) AS n_removed FROM stretch GROUP BY r
 ), items AS (
   SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
   FROM (SELECT DISTINCT r, item FROM m) GROUP BY r
 )
-SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 100 * coalesce(n_hit, 0) >= {decontam.COVERAGE_PCT} * len(words) AS contaminated
 FROM d LEFT JOIN hit ON d.r = hit.r LEFT JOIN items ON d.r = items.r

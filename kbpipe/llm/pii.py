@@ -40,26 +40,32 @@ PATTERNS = {
     # the checksum doesn't hide a number that starts inside it.
     "iban": ("", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9])(?=((?:{_IBAN}|[A-Z]{{2}}{_IBAN_RUN}{{11,30}}+)(?![A-Za-z0-9])))"
                  r"[A-Z]{2}[0-9]{2}"),
+    # a national phone number: too weak a pattern without a word that names it
+    "tel": ("0", r"(?<![0-9+][\x20().-]{0,2})(?<![A-Za-z])0[1-9](?:[\x20()./-]{0,2}[0-9])++"),
 }
 HEAD = {"iban": 4}       # code points that a match takes, where that isn't all of it
 BASE_KINDS = ("email", "ip", "card", "phone")
 MAX_IP_PART = 255
 CARD_DIGITS = (16, 19)
 PHONE_DIGITS = (8, 15)
+TEL_DIGITS = (9, 12)
 
 # Words that make a kind more likely within CONTEXT code points before a span.
 CONTEXT = 40
+_BACK = 8        # matches before a span whose text can lie within its context
 CONTEXT_WORDS = {
     "email": "e-?mail|contact|write|address",
     "ip": "ip|address|host|server|login",
     "card": "card|credit|visa|payment|pay",
     "phone": "phone|call|tel|mobile|fax",
     "iban": "iban|account|bank|transfer",
+    "tel": "phone|call|tel|mobile|fax",
 }
-BASE_SCORE = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9}
-CONTEXT_BONUS = 0.1
+BASE_SCORE = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "tel": 0.4}
+CONTEXT_BONUS = {"email": 0.1, "ip": 0.1, "card": 0.1, "phone": 0.1, "iban": 0.1, "tel": 0.3}
+MIN_SCORE = 0.5      # a span below it is dropped
 
-PLACEHOLDERS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "iban": "<IBAN>"}
+PLACEHOLDERS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "iban": "<IBAN>", "tel": "<PHONE>"}
 
 
 def _digits(s: Column) -> Column:
@@ -99,6 +105,8 @@ def confirmed(kind: str, s: Column) -> Column:
         return F.length(_digits(s)).between(*CARD_DIGITS) & luhn(_digits(s))
     if kind == "phone":
         return F.length(_digits(s)).between(*PHONE_DIGITS)
+    if kind == "tel":
+        return F.length(_digits(s)).between(*TEL_DIGITS)
     if kind == "iban":
         return F.length(F.replace(s, F.lit(" "), F.lit(""))).between(15, 34) & mod97(s)
     return F.lit(True)
@@ -138,22 +146,38 @@ def _block_starts(totals: Column) -> Column:
         F.slice(totals, 1, i), F.lit(0).cast("bigint"), lambda a, x: a + x))
 
 
+def score(kind: str, found: Column, x: Column, i: Column) -> Column:
+    """Score of match ``x``, the ``i``-th of ``found``: its kind's, more if a
+    word of the kind stands in the ``CONTEXT`` code points before it (earlier
+    matches and what lies between them included)."""
+    earlier = F.slice(found, F.greatest(i - _BACK, F.lit(0)) + 1, F.least(i, F.lit(_BACK)))
+    before = F.aggregate(earlier, F.lit(""), lambda acc, e: F.concat(
+        acc, F.substring(e["gap"], -CONTEXT, CONTEXT), F.substring(e["match"], 1, e["len"])))
+    near = F.lower(F.substring(F.concat(before, F.substring(x["gap"], -CONTEXT, CONTEXT)), -CONTEXT, CONTEXT))
+    bonus = F.when(near.rlike(rf"\b(?:{CONTEXT_WORDS[kind]})"), CONTEXT_BONUS[kind]).otherwise(0.0)
+    return F.lit(BASE_SCORE[kind]) + bonus
+
+
+def accepted(kind: str, found: Column, x: Column, i: Column) -> Column:
+    """Whether a proposed match passes its kind's check and scores enough."""
+    ok = x["match"].isNotNull() & confirmed(kind, x["match"])
+    # a kind that scores enough by itself needs no look at its context
+    return ok if BASE_SCORE[kind] >= MIN_SCORE else ok & (score(kind, found, x, i) >= MIN_SCORE)
+
+
 def _spans(kind: str, found: Column, starts: Column) -> Column:
-    """Confirmed matches of one kind as structs (kind, start, end, match,
+    """Accepted matches of one kind as structs (kind, start, end, match,
     score); positions in code points, end exclusive. Running lengths are taken
     per block of matches, so many matches in one text don't cost their square.
     ``found`` and ``starts`` must be plain columns."""
     def place(x: Column, i: Column) -> Column:
         block = F.floor(i / _BLOCK).cast("int")
         at = F.get(starts, block) + _total(F.slice(found, block * _BLOCK + 1, i % _BLOCK)) + x["before"]
-        near = F.lower(F.substring(x["gap"], -CONTEXT, CONTEXT))
-        bonus = F.when(near.rlike(rf"\b(?:{CONTEXT_WORDS[kind]})"), CONTEXT_BONUS).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), at.cast("bigint").alias("start"),
                         (at + F.length(x["match"])).cast("bigint").alias("end"), x["match"].alias("match"),
-                        (F.lit(BASE_SCORE[kind]) + bonus).alias("score"))
+                        score(kind, found, x, i).alias("score"))
 
-    good = F.transform(found, lambda x, i: F.when(
-        x["match"].isNotNull() & confirmed(kind, x["match"]), place(x, i)))
+    good = F.transform(found, lambda x, i: F.when(accepted(kind, found, x, i), place(x, i)))
     return F.coalesce(F.filter(good, lambda s: s.isNotNull()), F.array().cast(_SPAN))
 
 
@@ -166,7 +190,8 @@ def _once(df: DataFrame, cols: list[str], **parts: Column) -> DataFrame:
 
 def find_pii(docs: DataFrame, out: str = "pii") -> DataFrame:
     """``docs`` plus ``out``: array of (kind, start, end, match, score), by
-    kind as listed in ``PATTERNS``, then start.
+    kind as listed in ``PATTERNS``, then start. Spans that score less than
+    ``MIN_SCORE`` are left out (a national phone number without a word for it).
 
     Defined cases: NULL and empty texts have no spans; NULL ids, repeated
     rows and other columns stay as they are; a text of any length takes
@@ -193,11 +218,16 @@ def joined(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with every confirmed match in ``text`` replaced by its kind's
+    """``docs`` with every accepted match in ``text`` replaced by its kind's
     placeholder, one kind after the other (placeholders match no pattern, and
-    where matches of two kinds overlap the kind listed first takes it). Texts
+    where matches of two kinds overlap the kind listed first takes it; the
+    context of a later kind is the text that the earlier ones left). Texts
     without a match are unchanged; ``n_chars``, where there is one, follows
-    the text where it changed."""
+    the text where it changed.
+
+    Defined cases: NULL and empty texts stay as they are; NULL ids, repeated
+    rows, ties and other columns (whatever their names) pass unchanged; a text
+    of any length takes linear time; empty tables give empty tables."""
     p = free_name("pii_", [c[:4] for c in docs.columns])
     new, f, over = f"{p}text", f"{p}found", f"{p}over"
     df = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").alias(new))
@@ -221,8 +251,8 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 
 def _parts(found: Column, kind: str) -> Column:
-    return F.transform(found, lambda x: F.concat(x["gap"], F.when(x["match"].isNull(), "").when(
-        confirmed(kind, x["match"]), PLACEHOLDERS[kind]).otherwise(x["match"])))
+    return F.transform(found, lambda x, i: F.concat(x["gap"], F.when(x["match"].isNull(), "").when(
+        accepted(kind, found, x, i), PLACEHOLDERS[kind]).otherwise(x["match"])))
 
 
 _REACH = 16      # matches that can start within one: 34 characters and 33 spaces, a head and a space each

@@ -24,7 +24,7 @@ SYMBOLS = r"[#*$%&|<>]"
 MAX_SYMBOLS_PER_100 = 10    # symbol characters per 100 words
 MAX_DUP_LINE_PCT = 30       # repeated lines in percent of the lines with a word
 MIN_WORD_LEN, MAX_WORD_LEN = 3, 12   # mean code points per word
-BAD_HOST = 0.5              # shrunk share of failing documents
+BAD_HOST_Z = 0.6745         # a host is bad above this many standard deviations of the prior: its upper quartile
 MAX_DEMERITS = 2            # own failed rules, plus 1 for a bad host, that reject
 
 RULES = ("few_words", "repeats", "symbols", "dup_lines", "word_length")
@@ -107,7 +107,10 @@ def rule_flags(p: str = "") -> dict[str, Column]:
 def host_verdicts(measured: DataFrame, host: str, p: str = "") -> DataFrame:
     """``host, host_docs, host_failed, host_rate, host_bad``: the share of
     failing documents, shrunk as ``(failed + a) / (docs + a + b)`` where
-    beta(a, b) has the mean and variance of all hosts' shares."""
+    beta(a, b) has the mean and variance of all hosts' shares. A host is bad
+    if its shrunk rate lies above the prior's upper quartile (``mean +
+    BAD_HOST_Z * deviation``): a few failing documents don't carry a small
+    host there, as they are drawn towards the mean."""
     any_failed = F.lit(False)
     for flag in rule_flags(p).values():
         any_failed = any_failed | flag
@@ -117,7 +120,9 @@ def host_verdicts(measured: DataFrame, host: str, p: str = "") -> DataFrame:
     prior = fit_beta(hosts)
     a, b = prior.select("a").scalar(), prior.select("b").scalar()
     rate = (F.col("host_failed") + a) / (F.col("host_docs") + a + b)
-    return hosts.withColumn("host_rate", rate).withColumn("host_bad", F.col("host_rate") >= BAD_HOST)
+    mean = a / (a + b)
+    limit = mean + BAD_HOST_Z * F.sqrt(mean * (1 - mean) / (a + b + 1))
+    return hosts.withColumn("host_rate", rate).withColumn("host_bad", F.col("host_rate") > limit)
 
 
 def fit_beta(hosts: DataFrame) -> DataFrame:
