@@ -101,12 +101,13 @@ def crawl_records(fetched: DataFrame, decoded_text: DataFrame | None = None) ->
     return out
 
 
-def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def page_links(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple = ()) -> DataFrame:
     """``(page_id, link_no, link)``: every anchor href resolved against the
-    page URL, in document order, duplicates kept."""
+    page URL, in document order, duplicates kept; ``keep`` names columns of
+    the pages to carry along."""
     x = explode_rows(pages.withColumn("base", F.col(url)), H.hrefs(html), "link_no", "href",
-                     "page_id", "base")
-    return computed(x, link=U.join_url("base", "href")).select("page_id", "link_no", "link", "base")
+                     "page_id", "base", *keep)
+    return computed(x, link=U.join_url("base", "href")).select("page_id", "link_no", "link", "base", *keep)
 
 
 def same_site(links: DataFrame, base: str = "base", site: str | None = None) -> DataFrame:

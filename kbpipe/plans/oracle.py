@@ -380,6 +380,21 @@ SELECT g.qid, CAST(g.status AS BIGINT) AS status,
               THEN {RAG_HEAD} || c.context || {lit(Qc.RAG_MIDDLE)} || g.clean || {lit(Qc.RAG_TAIL)}
               ELSE g.clean END END AS prompt
 FROM {GATED} g LEFT JOIN {CONTEXT} c ON c.qid = g.qid"""
+    unsafe = f"bool_or(coalesce(contains(upper({strip('verdict')}), 'UNSAFE'), true))"
+    o["safety_gate_questions"] = f"""
+WITH v AS (SELECT qid, {unsafe} AS unsafe FROM ({fx.QUESTION_VERDICTS.format(conversations='conversations')}) GROUP BY qid)
+SELECT q.qid, coalesce(NOT v.unsafe, false) AS safe,
+       CAST(CASE WHEN q.clean = '' THEN 400 WHEN coalesce(v.unsafe, true) THEN 403 ELSE 200 END AS BIGINT) AS status
+FROM {CHECKED} q LEFT JOIN v ON q.qid = v.qid"""
+    o["rag_prompt_branches"] = f"""
+WITH c AS (SELECT qid, count(*) AS n_hits, coalesce(string_agg({lit(Qc.CONTEXT_PREFIX)} ||
+             coalesce(source, {lit(Qc.UNKNOWN_SOURCE)}) || {lit(Qc.CONTEXT_MIDDLE)} || text, chr(10) || chr(10) ORDER BY rank)
+             FILTER (text IS NOT NULL), '') AS context
+           FROM ({fx.SPARSE_HITS.format(conversations='conversations')}) GROUP BY qid)
+SELECT q.qid, CAST(coalesce(n_hits, 0) AS BIGINT) AS n_hits, context,
+       CASE WHEN n_hits > 0 THEN {RAG_HEAD} || context || {lit(Qc.RAG_MIDDLE)} || q.clean || {lit(Qc.RAG_TAIL)}
+            ELSE q.clean END AS prompt
+FROM {CHECKED} q LEFT JOIN c ON q.qid = c.qid WHERE q.clean <> ''"""
     msg = " ".join(f"WHEN {code} THEN {lit(m)}" for code, m in Qc.MESSAGES.items())
     o["question_outcomes"] = f"""
 SELECT CAST(status AS BIGINT) AS status, CAST(count(*) AS BIGINT) AS n_questions,
@@ -427,7 +442,7 @@ SELECT event_type, strftime(we, '{TS}') AS exported_at, CAST(n AS BIGINT) AS n_e
 FROM p"""
     o["restore_backup"] = (f"SELECT 'note://' || CAST(note_id AS VARCHAR) AS source, _red AS text, "
                            f"'true' AS restored FROM {redacted(CASE_NOTES)}")
-    o["restore_index"] = (f"SELECT source, text, restored, CAST({reg.SMALL_DIM} AS BIGINT) AS n_dims FROM ("
+    o["restore_index"] = (f"SELECT source, text, restored, CAST({reg.DEFAULT_DIM} AS BIGINT) AS n_dims FROM ("
                           f"{o['restore_backup']} UNION ALL SELECT 'item://' || CAST(item_id AS VARCHAR), text, 'true' "
                           f"FROM benchmark WHERE text IS NOT NULL)")
     crawled = sub(f"SELECT url, text FROM (SELECT url, {main_text('html')} AS text FROM pages) "
@@ -435,6 +450,18 @@ FROM p"""
     o["backup_json"] = f"SELECT url, _red AS text, 'web_scraped' AS type FROM {redacted(crawled)}"
     o["request_alarm_stream"] = f"SELECT *, CAST(1 AS BIGINT) AS n_raised FROM ({o['request_alert']})"
     o["counter_export_stream"] = o["counter_export"]
+    o["budget_alert_stream"] = o["budget_alert"]
+    o["frontier_stream"] = o["frontier"]
+    o["redacted_documents_sql"] = o["redact_documents"]
+    good = "length(text) % 5"
+    o["restore_stream"] = f"""
+SELECT CASE WHEN {good} = 0 THEN 'item://' || CAST(item_id AS VARCHAR) WHEN {good} = 1 THEN 'not JSON'
+            WHEN {good} = 2 THEN 'not an object' WHEN {good} = 3 THEN 'no text' ELSE 'unknown' END AS source,
+       CASE WHEN {good} = 0 THEN 'item ' || CAST(item_id AS VARCHAR) || ' of ' || CAST(length(text) AS VARCHAR)
+            WHEN {good} = 4 THEN 'item ' || CAST(item_id AS VARCHAR) END AS text,
+       CASE WHEN {good} IN (0, 4) THEN 'true' ELSE 'false' END AS restored,
+       CAST(CASE WHEN {good} IN (0, 4) THEN {DIM} ELSE 0 END AS BIGINT) AS n_dims
+FROM benchmark WHERE text IS NOT NULL"""
     o["request_alert_stream"] = (f"SELECT * FROM ({o['request_alert']}) WHERE window_end <= "
                                  f"strftime((SELECT max(ts) FROM events) - INTERVAL 5 MINUTE, '{TS}')")
     o["ingest_stream"] = f"SELECT text, source, type, CAST({DIM} AS BIGINT) AS n_dims FROM {POINTS}"

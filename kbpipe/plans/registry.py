@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kbpipe.functions import redact as R
 from kbpipe.functions import text as TX
+from kbpipe.functions.embed import DEFAULT_DIM
 from kbpipe.operators import assemble as A
 from kbpipe.operators import chunk as C
 from kbpipe.operators import metrics as M
@@ -37,7 +38,6 @@ RETENTION_QUERY_DAYS = 7
 EMBEDDINGS_DIM = 64
 RUN_ID = "run-0"
 STATE_PARTITIONS = 4        # of the keyed-state streams
-SMALL_DIM = 64              # vectors of the queries that test storage, not search
 
 
 def query(fn: Query) -> Query:
@@ -189,6 +189,18 @@ def redact_documents(spark, sf):
     return redaction.redact(_texts(spark, sf), "text").select("text_id", "text")
 
 
+def register_views(spark, sf) -> None:
+    """SQL surface: ``redacted_documents (text_id, text)``, the column chain
+    as a view of the session."""
+    redaction.redact(_texts(spark, sf), "text").select("text_id", "text").createOrReplaceTempView("redacted_documents")
+
+
+@query
+def redacted_documents_sql(spark, sf):
+    register_views(spark, sf)
+    return spark.sql("SELECT text_id, text FROM redacted_documents")
+
+
 @query
 def redaction_metrics(spark, sf):
     t = redaction.redact(_texts(spark, sf), "text", out="redacted")
@@ -341,7 +353,7 @@ def ensure_collection(spark, sf):
     """Create the table, write points, create it again: nothing is lost."""
     path = scratch_path(spark, "collection")
     first = store.ensure_table(spark, path), store.read_table(spark, path).count()
-    store.append_points(knowledge_points(Tables(spark, sf).documents, RUN_ID, SMALL_DIM), path, SMALL_DIM, RUN_ID)
+    store.append_points(knowledge_points(Tables(spark, sf).documents, RUN_ID, DEFAULT_DIM), path, DEFAULT_DIM, RUN_ID)
     second = store.ensure_table(spark, path), store.read_table(spark, path).count()
     return spark.createDataFrame([(1, *first), (2, *second)], "attempt bigint, created boolean, n_points bigint")
 
@@ -356,11 +368,11 @@ def knowledge_mixed(spark, sf):
     src, path = scratch_path(spark, "docs-in"), scratch_path(spark, "kb-mixed")
     store.ensure_table(spark, path)
     for run in (RUN_ID, "run-1"):
-        store.append_points(knowledge_points(d, run, SMALL_DIM), path, SMALL_DIM, run)
+        store.append_points(knowledge_points(d, run, DEFAULT_DIM), path, DEFAULT_DIM, run)
     d.repartition(4).write.parquet(src)
     for name in ("a", "b"):
         start_ingest(spark, src, d.schema, path, scratch_path(spark, f"backup-{name}"),
-                     scratch_path(spark, f"ck-{name}"), dim=SMALL_DIM, max_files_per_trigger=2).awaitTermination()
+                     scratch_path(spark, f"ck-{name}"), dim=DEFAULT_DIM, max_files_per_trigger=2).awaitTermination()
     return store.read_table(spark, path).groupBy("text", "source").agg(
         F.count(F.lit(1)).alias("n_points"), F.count_distinct("id").alias("n_ids"))
 
@@ -405,6 +417,25 @@ def rag_prompt(spark, sf):
     return answers.select("qid", F.col("status").cast("bigint").alias("status"), "prompt")
 
 
+@query
+def safety_gate_questions(spark, sf):
+    """Verdicts per question, with doubles, NULLs and gaps."""
+    f = Fixtures(spark, sf)
+    g = Q.safety_gate(Q.question_check(f.questions()), f.question_verdicts(), key="qid")
+    return g.select("qid", "safe", F.coalesce("status", F.lit(200)).cast("bigint").alias("status"))
+
+
+@query
+def rag_prompt_branches(spark, sf):
+    """Prompts where hits lack a source or a text, or there are none."""
+    f = Fixtures(spark, sf)
+    valid = Q.question_check(f.questions()).where(F.col("status").isNull())
+    ctx = Q.context_blocks(f.sparse_hits())
+    return valid.join(ctx, "qid", "left").select(
+        "qid", F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits"), "context",
+        Q.rag_prompt(F.col("clean_prompt"), F.col("n_hits"), F.col("context")).alias("prompt"))
+
+
 @query
 def question_outcomes(spark, sf):
     f = Fixtures(spark, sf)
@@ -497,7 +528,7 @@ def restore_index(spark, sf):
     items = Tables(spark, sf).benchmark.select(
         F.concat(F.lit("item://"), F.col("item_id").cast("string")).alias("url"), "text")
     items.write.mode("append").option("maxRecordsPerFile", 1).json(folder)
-    store.append_points(ingest_plan.restore_points(spark, folder, RUN_ID, SMALL_DIM), path, SMALL_DIM, RUN_ID)
+    store.append_points(ingest_plan.restore_points(spark, folder, RUN_ID, DEFAULT_DIM), path, DEFAULT_DIM, RUN_ID)
     return store.read_table(spark, path).select("source", "text", "restored",
                                                 F.size("vector").cast("bigint").alias("n_dims"))
 
@@ -558,6 +589,47 @@ def counter_export_stream(spark, sf):
     return spark.read.parquet(out).unionByName(open_counters(spark, ck))
 
 
+@query
+def budget_alert_stream(spark, sf):
+    """The budget alert over charges arriving in time order, a run per slice."""
+    from kbpipe.streaming.budget import read_alerts, start_budget_alert
+    c = Fixtures(spark, sf).costs()
+    src, state, alerts, ck = (scratch_path(spark, n) for n in ("costs-in", "spent", "budget-alerts", "costs-ck"))
+    for i in range(3):
+        c.where(F.floor(F.dayofmonth("ts") / 11) == i).write.mode("append").parquet(src)
+        start_budget_alert(spark.readStream.schema(c.schema).parquet(src), state, alerts, ck).awaitTermination()
+    return read_alerts(spark, alerts)
+
+
+@query
+def frontier_stream(spark, sf):
+    """The frontier over pages arriving in two runs."""
+    from kbpipe.streaming.frontier import start_frontier
+    pages = Tables(spark, sf).pages
+    src, out, ck = (scratch_path(spark, n) for n in ("pages-in", "frontier", "frontier-ck"))
+    for i in range(2):
+        pages.where(F.col("page_id") % 2 == i).write.mode("append").parquet(src)
+        start_frontier(spark.readStream.schema(pages.schema).parquet(src), pages.select("url"), out, ck,
+                       state_partitions=STATE_PARTITIONS).awaitTermination()
+    return spark.read.schema("url string").parquet(out)
+
+
+@query
+def restore_stream(spark, sf):
+    """Backup files arriving in two runs: what reached the table, and the
+    rejected ones by reason."""
+    from kbpipe.streaming.ingest import start_restore
+    files = Fixtures(spark, sf).backup_files()
+    src, path, bad, ck = (scratch_path(spark, n) for n in ("backup-in", "restored", "rejects", "restore-ck"))
+    for i in range(2):
+        files.where(F.col("slice") == i).select("value").write.mode("append").option("maxRecordsPerFile", 1).text(src)
+        start_restore(spark, src, path, bad, ck, glob="part-*").awaitTermination()
+    points = store.read_table(spark, path).select("source", "text", "restored", F.size("vector").cast("bigint").alias("n_dims"))
+    rejects = spark.read.schema("file string, reason string").option("recursiveFileLookup", "true").parquet(bad)
+    return points.unionByName(rejects.select(F.col("reason").alias("source"), F.lit(None).cast("string").alias("text"),
+                                             F.lit("false").alias("restored"), F.lit(0).cast("bigint").alias("n_dims")))
+
+
 @query
 def ingest_stream(spark, sf):
     """Documents as arriving files through the incremental ingest job; the

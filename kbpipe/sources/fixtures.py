@@ -124,6 +124,36 @@ SELECT doc_id AS conv_id,
 FROM {labels}
 """
 
+# verdicts of single questions: some have two that differ, a NULL one or none
+QUESTION_VERDICTS = """
+SELECT CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS qid, 'SAFE' AS verdict
+FROM {conversations} WHERE role = 'user' AND (conv_id * 3 + turn) % 7 <> 0
+UNION ALL
+SELECT CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS qid,
+       CASE (conv_id + turn) % 10 WHEN 0 THEN ' unsafe' || chr(10) WHEN 2 THEN NULL WHEN 4 THEN '' ELSE 'Safe.' END AS verdict
+FROM {conversations} WHERE role = 'user' AND (conv_id + turn) % 2 = 0
+"""
+
+# hits of a search: up to three a question, none for some, without source or text for others
+SPARSE_HITS = "\nUNION ALL\n".join(f"""
+SELECT CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS qid, CAST({rank} AS BIGINT) AS rank,
+       CASE WHEN (conv_id + {rank}) % 4 = 0 THEN NULL ELSE 'page ' || CAST(turn + {rank} AS STRING) END AS source,
+       CASE WHEN (conv_id + turn + {rank}) % 5 = 0 THEN NULL ELSE substr(text, {rank}, 60) END AS text
+FROM {{conversations}} WHERE role = 'user' AND conv_id % 4 >= {rank}""" for rank in (1, 2, 3))
+
+# one backup file per test item: good ones, corrupt, arrays, without text, without url
+BACKUP_FILES = """
+SELECT CASE length(text) % 5
+         WHEN 1 THEN '{{"url": "item://' || CAST(item_id AS STRING)
+         WHEN 2 THEN '[{{"url": "item://' || CAST(item_id AS STRING) || '", "text": "x"}}]'
+         WHEN 3 THEN '{{"url": "item://' || CAST(item_id AS STRING) || '", "title": "x"}}'
+         WHEN 4 THEN '{{"text": "item ' || CAST(item_id AS STRING) || '"}}'
+         ELSE '{{' || chr(10) || '  "url": "item://' || CAST(item_id AS STRING) || '",' || chr(10) ||
+              '  "text": "item ' || CAST(item_id AS STRING) || ' of ' || CAST(length(text) AS STRING) || '"' || chr(10) || '}}'
+       END AS value, length(text) % 2 AS slice
+FROM {benchmark} WHERE text IS NOT NULL
+"""
+
 COSTS = """
 SELECT event_id AS id, ts, CAST(value AS DECIMAL(18,2)) AS cost
 FROM {events}
@@ -182,6 +212,15 @@ class Fixtures:
     def verdicts(self) -> DataFrame:
         return portable(self.spark, VERDICTS, labels=self.t.labels)
 
+    def question_verdicts(self) -> DataFrame:
+        return portable(self.spark, QUESTION_VERDICTS, conversations=self.t.conversations)
+
+    def sparse_hits(self) -> DataFrame:
+        return portable(self.spark, SPARSE_HITS, conversations=self.t.conversations)
+
+    def backup_files(self) -> DataFrame:
+        return portable(self.spark, BACKUP_FILES, benchmark=self.t.benchmark)
+
     def costs(self) -> DataFrame:
         return portable(self.spark, COSTS, events=self.t.events)
 

@@ -168,3 +168,55 @@ def test_counter_goes_on_after_a_restart_and_late_events_are_left_out(spark, tmp
                           ("b", "2024-01-01 00:01:00", 1, 1), (None, "2024-01-01 00:01:00", 1, 1)], key=str)
     # the event at second 10 came after its period was exported
     assert [tuple(r) for r in K.open_counters(spark, ck).collect()] == [("a", "2024-01-01 00:21:00", 2, 6)]
+
+
+def test_budget_is_crossed_in_a_later_batch_and_replays_change_nothing(spark, tmp_path):
+    from decimal import Decimal
+
+    from kbpipe.streaming.budget import budget_batch, read_alerts
+    state, alerts = str(tmp_path / "state"), str(tmp_path / "alerts")
+    day = dt.datetime(2024, 3, 1)
+
+    def batch(n, *rows):
+        df = spark.createDataFrame([(day + dt.timedelta(days=d) if d is not None else None, i, Decimal(c) if c else None)
+                                    for d, i, c in rows], "ts timestamp_ntz, id bigint, cost decimal(18,2)")
+        budget_batch(df, n, state, alerts)
+        return sorted(tuple(r) for r in read_alerts(spark, alerts).collect())
+
+    assert batch(0, (0, 1, "4.00"), (1, 2, "3.00"), (40, 3, "8.99"), (None, 4, "99.00"), (2, 5, None)) == []
+    want = [("2024-03", "2024-03-05 00:00:00", 7, 9.5)]
+    for _ in range(2):      # the second time as a replay
+        assert batch(1, (5, 8, "50.00"), (4, 7, "2.00"), (3, 6, "0.50")) == want
+    assert batch(2, (6, 9, "1.00"), (41, 10, "0.01")) == want + [("2024-04", "2024-04-11 00:00:00", 10, 9.0)]
+    assert batch(3) == want + [("2024-04", "2024-04-11 00:00:00", 10, 9.0)]
+
+
+def test_frontier_stream_brings_each_link_once(spark, tmp_path):
+    from kbpipe.streaming.frontier import start_frontier
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    schema = "page_id bigint, url string, html string"
+    visited = spark.createDataFrame([("http://h.org/seen",), (None,)], "url string")
+    runs = [[(1, "http://h.org/a", '<a href="/x">x</a><a href="/x">x</a><a href="/seen">s</a><a href="http://o.org/y">o</a>')],
+            [(2, "http://h.org/b", '<a href="/x">x</a><a href="/z">z</a>'), (3, None, None)]]
+    for rows in runs:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        start_frontier(spark.readStream.schema(schema).parquet(src), visited, out, ck, state_partitions=2).awaitTermination(300)
+    assert sorted(r["url"] for r in spark.read.schema("url string").parquet(out).collect()) == ["http://h.org/x", "http://h.org/z"]
+
+
+def test_restore_stream_sorts_good_from_bad(spark, tmp_path):
+    from kbpipe.streaming.ingest import start_restore
+    src = tmp_path / "in"
+    src.mkdir()
+    table, bad, ck = (str(tmp_path / n) for n in ("t", "bad", "ck"))
+    arrivals = [{"a.json": '{"url": "u", "text": "one"}', "b.json": "{ this is not valid json }", "c.txt": '{"text": "no"}'},
+                {"d.json": '[{"text": "x"}]', "e.json": '{"url": null,\n "text": "two"}', "f.json": '{"url": "v"}',
+                 "g.json": '{"text": 3}', "h.json": ""}]
+    for files in arrivals:
+        for name, body in files.items():
+            (src / name).write_text(body)
+        start_restore(spark, str(src), table, bad, ck, dim=16).awaitTermination(300)
+    got = sorted(((r["original_file"], r["source"], r["text"], r["restored"]) for r in store.read_table(spark, table).collect()))
+    assert got == [("a.json", "u", "one", "true"), ("e.json", None, "two", "true"), ("g.json", "unknown", "3", "true")]
+    why = spark.read.schema("file string, reason string").option("recursiveFileLookup", "true").parquet(bad).collect()
+    assert sorted(map(tuple, why)) == [("b.json", "not JSON"), ("d.json", "not an object"), ("f.json", "no text"), ("h.json", "not JSON")]
