@@ -9,6 +9,7 @@ be applied to the bytes.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -53,9 +54,16 @@ def remainder_of(doc_id: Column, modulus: int) -> Column:
 
 class Scratch:
     """Written tables in the shared folder: they cut lineage, so a lost
-    executor re-reads files, and each can be dropped once nothing reads it."""
+    executor re-reads files, and each can be dropped once nothing reads it.
+
+    An operator's result reads its tables, so only who has written the result
+    can drop them: ``collected`` gathers what operators make meanwhile."""
+
+    _gathering: list[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession, name: str):
+        for made in self._gathering:
+            made.append(self)
         self.spark = spark
         self.root = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._paths: dict[int, str] = {}
@@ -70,12 +78,31 @@ class Scratch:
         self._paths[id(out)] = path
         return out
 
+    @classmethod
+    @contextlib.contextmanager
+    def collected(cls) -> Iterator[list[Scratch]]:
+        """The scratch folders that are made inside."""
+        made: list[Scratch] = []
+        cls._gathering.append(made)
+        try:
+            yield made
+        finally:
+            cls._gathering[:] = [x for x in cls._gathering if x is not made]
+
+    def _delete(self, path: str) -> None:
+        hpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        hpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hpath, True)
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             path = self._paths.pop(id(t), None)
             if path:
-                hpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                hpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hpath, True)
+                self._delete(path)
+
+    def drop_all(self) -> None:
+        """Deletes every table of this scratch folder."""
+        self._paths.clear()
+        self._delete(self.root)
 
 
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:

@@ -163,7 +163,9 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     Defined cases: NULL texts and texts without a letter are ``und`` with
     score 0, as is everything if nothing could be learned; a NULL id is not
-    held out; repeated rows stay; other columns are ignored.
+    held out; repeated rows stay; a text of any length is counted whole, in
+    parts; of languages with equal votes the larger margin wins, then the first
+    by name; other columns are ignored; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select("doc_id", F.coalesce(remainder_of(F.col("doc_id"), HELD_OUT) == 0, F.lit(False))

@@ -10,8 +10,7 @@ A pair is looked at in exactly one bucket per segment.
 
 Large buckets (many different fingerprints around one segment value) are not
 compared in that task: their rows go on, unchanged, to a second table keyed
-by the ball of a 16-bit half of the other segment as well, and so on through
-``LEVELS``. Only a spanning set of the verified links leaves a bucket, never
+by the ball of a 16-bit half of the other segment as well. Only a spanning set of the verified links leaves a bucket, never
 all pairs. Exact copies share a fingerprint and are grouped before all this.
 """
 
@@ -25,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbpipe.llm.common import Scratch, arrow_map, texts, tokens
+from kbpipe.llm.common import Scratch, arrow_map, free_name, texts, tokens
 
 SHINGLE = 4       # words per shingle
 MAX_BITS = 4      # largest distance of a link
@@ -305,7 +304,9 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int =
 
     Defined cases: NULL and empty texts have fingerprint zero and are linked
     like any other; NULL ids keep their rows and never name a component
-    (NULL where all ids are); repeated rows stay; other columns are ignored.
+    (NULL where all ids are); repeated rows stay; a text of any length is
+    fingerprinted whole, its bits summed in parts; other columns are ignored;
+    an empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.write(fingerprints(docs, shingle))
@@ -321,3 +322,26 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int =
         .select(F.col("fp").alias("f"), F.coalesce("component_id", "least").alias("component_id")))
     return (rows.join(named, rows.fp == named.f, "left")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def one_per_component(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` without near duplicates: of every component the row with the
+    smallest doc_id, and one row of it; a component whose ids are all NULL
+    keeps one of its rows.
+
+    Defined cases: NULL and empty texts have fingerprint zero and form one
+    component with whatever is near it; a NULL id loses to any other; of
+    repeated rows one stays; texts of any length are fingerprinted whole; other
+    columns (whatever their names) pass unchanged; an empty table stays empty.
+    """
+    scratch = Scratch(docs.sparkSession, "dedup")
+    uid = free_name("row_uid", docs.columns)
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    rows = scratch.write(docs.select(*cols, F.monotonically_increasing_id().alias(uid)))
+    # components are named by row here, so that NULL and repeated ids are told apart
+    groups = simhash_components(rows.select(F.col(uid).alias("doc_id"), "text"), shingle, max_bits).select(
+        F.col("doc_id").alias("g_uid"), "component_id")
+    named = rows.select(F.col(uid).alias("g_uid"), "doc_id").join(groups, "g_uid")
+    best = named.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "g_uid"))["g_uid"].alias(uid))
+    return rows.join(best.select(uid), uid, "left_semi").select(*cols)

@@ -249,8 +249,9 @@ def filter_urls(pages: DataFrame, rules=RULES, is_listed=is_listed_host) -> Data
     membership tested by the cascade) are blocked and all others allowed.
 
     Defined cases: NULL urls and urls without ``://`` have empty host and
-    path and are allowed; NULL ids and repeated rows stay; other columns are
-    ignored; an empty table gives an empty one.
+    path and are allowed; NULL ids and repeated rows stay; urls of any length
+    are cut by linear patterns; other columns are ignored; an empty table gives
+    an empty one.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     url = F.col("url")
