@@ -4,6 +4,9 @@
 returns a DataFrame that is written as Parquet and reread as the next one's
 docs. All but the last return the columns of ``documents``. ``run`` applies
 them in order.
+
+Every stage takes NULLs in any column, empty and very long texts, repeated
+rows and further columns of any name; an empty table leaves it empty.
 """
 
 from __future__ import annotations
@@ -16,46 +19,47 @@ from kbpipe.llm.common import Scratch, free_name, table
 from kbpipe.session import ship_package
 
 
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, unchanged. NULL and empty texts
+    fail them; a NULL source is a host of its own; repeated rows stay or go
+    together (see ``quality.judge``)."""
     ship_package(spark)
     kept = free_name("kept", docs.columns)
-    return quality.judge(docs).where(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return quality.judge(docs).where(F.col(kept)).select(*_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every SimHash component: the smallest doc_id, and one
-    row of it. A component whose ids are all NULL keeps one of its rows."""
+    """One document of every SimHash component, unchanged: the smallest doc_id,
+    and one row of it (see ``simhash.one_per_component`` for NULLs and ties)."""
     ship_package(spark)
-    scratch = Scratch(spark, "dedup")
-    uid = free_name("row_uid", docs.columns)
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    rows = scratch.write(docs.select(*cols, F.monotonically_increasing_id().alias(uid)))
-    # components are named by row here, so that NULL and repeated ids are told apart
-    groups = simhash.simhash_components(rows.select(F.col(uid).alias("doc_id"), "text")).select(
-        F.col("doc_id").alias("g_uid"), "component_id")
-    named = rows.select(F.col(uid).alias("g_uid"), "doc_id").join(groups, "g_uid")
-    best = named.groupBy("component_id").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "g_uid"))["g_uid"].alias(uid))
-    return rows.join(best.select(uid), uid, "left_semi").select(*cols)
+    return simhash.one_per_component(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by the benchmark, unchanged."""
+    """Documents that aren't contaminated by the benchmark, unchanged; NULL and
+    empty texts are clean (see ``decontam.find_contamination``)."""
     ship_package(spark)
     flag = free_name("contaminated", docs.columns)
     found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~F.col(flag)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.where(~F.col(flag)).select(*_columns(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by placeholders."""
+    """All documents, personal data replaced by placeholders; NULL and empty
+    texts stay as they are (see ``pii.redacted``)."""
     ship_package(spark)
     return pii.redacted(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 tokens."""
+    """Pieces of all documents in sequences of at most 2048 tokens. NULL and
+    empty texts are one piece of one token; NULL ids and repeated rows have
+    pieces of their own; a very long text has as many as it needs (see
+    ``packing.pack``)."""
     ship_package(spark)
     return packing.pack(docs.select("doc_id", "text"))
 
@@ -74,9 +78,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order; what a stage wrote for itself is deleted once its
+    result is written, and its input with it."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        before, docs = docs, scratch.write(stage(spark, docs, sf_dir))
+        with Scratch.collected() as made:
+            before, docs = docs, scratch.write(stage(spark, docs, sf_dir))
+        for s in made:
+            s.drop_all()
         scratch.drop(before)
     return docs

@@ -219,4 +219,4 @@ def test_restore_stream_sorts_good_from_bad(spark, tmp_path):
     got = sorted(((r["original_file"], r["source"], r["text"], r["restored"]) for r in store.read_table(spark, table).collect()))
     assert got == [("a.json", "u", "one", "true"), ("e.json", None, "two", "true"), ("g.json", "unknown", "3", "true")]
     why = spark.read.schema("file string, reason string").option("recursiveFileLookup", "true").parquet(bad).collect()
-    assert sorted(map(tuple, why)) == [("b.json", "not JSON"), ("d.json", "not an object"), ("f.json", "no text"), ("h.json", "not JSON")]
+    assert sorted(map(tuple, why)) == [("b.json", "not JSON"), ("d.json", "not an object"), ("f.json", "no text")]      # h.json has no bytes, so no record
