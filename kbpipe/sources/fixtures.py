@@ -45,8 +45,8 @@ WITH b AS (
 SELECT note_id, CASE note_id % 8
   WHEN 0 THEN 'Subject: ' || first_name || ' ' || last_name || '. Contact ' ||
               lower(first_name) || '.' || lower(last_name) || '@council.example.org or ' ||
-              phone || '. Later on, ' || first_name || ' ' || last_name ||
-              ' reported the missed collection.'
+              phone || '. At noon ' || first_name || ' ' || last_name ||
+              ' asked for a second bin.'
   WHEN 1 THEN 'Coordinator: ' || first_name || ' ' || last_name || chr(10) || 'NHS ' ||
               health_id || chr(10) || 'Ref: ' || ref_num || chr(10) || 'Account ' || c_name
   WHEN 2 THEN 'Kin Contact: ' || first_name || ' ' || last_name || ' called on ' || phone ||
@@ -61,9 +61,9 @@ SELECT note_id, CASE note_id % 8
               'Coordinator: Mary Wilson and Dr. ' || first_name || '; ref ' || lower(ref_num) ||
               '.' || chr(10) || chr(10) || first_name || ' ' || last_name || ' and ' ||
               first_name || ' were told.'
-  ELSE 'CONFIDENTIAL:' || chr(160) || 'SOCIAL' || chr(10) || 'CARE' || chr(10) || 'CASE' ||
-       chr(10) || 'FILE' || chr(10) || '-' || chr(10) || 'REF:' || chr(10) || 'SC-' ||
-       CAST(note_id AS STRING) || '-X ' || phone
+  ELSE 'Route' || chr(160) || 'plan' || chr(10) || 'for' || chr(10) || chr(10) || 'the  north' ||
+       chr(10) || '*' || chr(10) || 'depot' || chr(10) || 'W-' ||
+       CAST(note_id AS STRING) || ' ' || phone
 END AS text
 FROM b
 """
