@@ -33,7 +33,10 @@ def test_each_regex_stage_once(spark, name, max_replace, max_extract):
 
 def test_embedding_udf_runs_once_and_top_k_limits_before_shuffle(spark):
     points = knowledge_points(Tables(spark, SF_SMALL).documents, "run")
-    assert points._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    plan = points._jdf.queryExecution().executedPlan().toString()
+    # the name sweep and the embedder, each evaluated by one node
+    nodes = [line for line in plan.split("\n") if "ArrowEvalPython [" in line]
+    assert len(nodes) == 2 and sum("dense(" in n for n in nodes) == 1 and sum("_sweep(" in n for n in nodes) == 1
     p = executed(spark, "rag_prompt")
     # cells packed once, scored once; the question blocks are a join side, not a driver loop
     assert p.count("MapInArrow") == 2 and p.count("FlatMapGroupsInArrow") == 1
