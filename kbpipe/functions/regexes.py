@@ -69,10 +69,16 @@ EDGE_WS = rf"^{S}+|{S}+$"
 HTML_COMMENT = r"(?s)<!--.*?-->"
 HTML_SCRIPT = r"(?is)<script\b[^>]*>.*?</script\s*>"
 HTML_STYLE = r"(?is)<style\b[^>]*>.*?</style\s*>"
-# containers in order of preference; an unclosed container runs to the end
+# containers in order of preference; blocks removed inside the chosen one;
+# other elements whose end tag closes what was left open inside them
 HTML_CONTAINERS = ["main", "article", "body"]
-# blocks removed inside the chosen container
 HTML_DROPPED_BLOCKS = ["nav", "footer", "header"]
+HTML_ENCLOSING = ["html", "div", "section", "aside"]
+# each element's one-letter code on the stack of open elements
+HTML_CODES = {tag: chr(ord("a") + i) for i, tag in
+              enumerate(HTML_CONTAINERS + HTML_DROPPED_BLOCKS + HTML_ENCLOSING)}
+HTML_STRUCTURE = rf"(?i)</?(?:{'|'.join(HTML_CODES)})(?=[\s/>])[^>]*+>"
+HTML_STRUCTURE_NAME = r"^</?([A-Za-z]+)"
 HTML_TAG = r"<[A-Za-z/!?][^>]*>"     # "5 < 6" is text
 # Entities decoded, in this order; &amp; must stay last
 HTML_ENTITIES = [
@@ -90,15 +96,3 @@ ANCHOR_HREF = r"""(?is)<a\s(?:[^>]*?[\s"'])?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]
 URL_SCHEME_AUTHORITY = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
 URL_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 URL_AFTER_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$"
-
-
-def container_pattern(tag: str) -> str:
-    return rf"(?is)<{tag}(?:[\s/][^>]*)?>(.*?)(?:</{tag}\s*>|\z)"
-
-
-def container_present(tag: str) -> str:
-    return rf"(?i)<{tag}(?:[\s/][^>]*)?>"
-
-
-def block_pattern(tag: str) -> str:
-    return rf"(?is)<{tag}(?:[\s/][^>]*)?>.*?</{tag}\s*>"

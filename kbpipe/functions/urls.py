@@ -40,31 +40,61 @@ def path_and_rest(url) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _urljoin(base: pd.Series, href: pd.Series) -> pd.Series:
-    # slow path only: rows the native rules below do not cover
-    return pd.Series([None if b is None or h is None else urllib.parse.urljoin(b, h)
-                      for b, h in zip(base, href)], dtype=object)
+    # the few shapes the native rules below do not cover
+    def join(b, h):
+        try:
+            return None if b is None or h is None else urllib.parse.urljoin(b, h)
+        except ValueError:          # no URL, e.g. an unclosed bracket in the host
+            return None
+    return pd.Series([join(b, h) for b, h in zip(base, href)], dtype=object)
 
 
-_DOT_SEGMENT = r"(^|/)\.\.?(/|[?#]|$)"
-_AWKWARD = r"[;\s\x00-\x1f\\]|\?$|#$|\?#"
+_PLAIN_BASE = r"^https?://[^/?#;\[\]\s\x00-\x1f\\]+(?:/[^;\s\x00-\x1f\\]*)?$"
+_AWKWARD = r"[;\[\]\s\x00-\x1f\\]|\?$|#$|\?#"
+_SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
+_DOT_SEGMENT = r"(^|/)\.\.?(/|$)"
+
+
+def _without_dots(path: Column) -> Column:
+    """``.`` and ``..`` segments of an absolute path taken out; a path that
+    ends in one ends in ``/``."""
+    def step(kept, segment):
+        return (F.when(segment == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
+                 .when(segment == ".", kept).otherwise(F.concat(kept, F.array(segment))))
+    done = F.array_join(F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step), "/")
+    done = F.when(path.rlike(r"/\.\.?$"), F.concat(done, F.lit("/"))).otherwise(done)
+    return F.when(done.startswith("/"), done).otherwise(F.concat(F.lit("/"), done))
 
 
 def join_url(base, href) -> Column:
-    """``urljoin(base, href)``.
+    """``urljoin(base, href)``; NULL where either is NULL or no URL.
 
-    The shapes that make up nearly all links (empty, absolute, and
-    root-relative without dot segments) are resolved natively; everything
-    else (relative paths, ``../``, scheme-relative, odd query/fragment
-    markers) goes through a vectorised standard-library join.
+    Resolved natively against an ``http(s)`` base: empty, absolute and
+    scheme-relative references, other schemes (``mailto:``), a query or
+    fragment alone, and absolute or relative paths with dot segments. What is
+    left (parameters, empty queries or fragments, blanks, brackets, a base of
+    another kind) goes through a vectorised standard-library join.
     """
     b, h = col_of(base), col_of(href)
-    origin = F.regexp_extract(b, rx.URL_SCHEME_AUTHORITY, 1)
-    simple = ~h.rlike(_DOT_SEGMENT) & ~h.rlike(_AWKWARD)
-    root_rel = h.rlike(r"^/(?!/)") & simple & (origin != "")
-    absolute = h.rlike(r"^[a-z][a-z0-9+.-]*://") & simple      # a join lower-cases the scheme
+    part = F.regexp_extract
+    origin, base_path = part(b, rx.URL_SCHEME_AUTHORITY, 1), part(b, r"^https?://[^/?#]*([^?#]*)", 1)
+    scheme, path, rest = part(h, _SCHEME, 1), part(h, r"^([^?#]*)", 1), part(h, r"^[^?#]*(.*)$", 1)
+    # segments of a relative path follow the base's folder; empty ones vanish
+    beside = F.regexp_replace(F.concat(F.regexp_replace(base_path, "[^/]*$", ""), F.lit("/"), path), "/+", "/")
+    target = F.when(path.startswith("/"), path).otherwise(beside)
+    target = F.when(path.rlike(_DOT_SEGMENT) | base_path.rlike(_DOT_SEGMENT) & ~path.startswith("/"),
+                    _without_dots(target)).otherwise(target)
+    same = F.lower(scheme) == F.lower(part(b, _SCHEME, 1))
+    plain = ~h.rlike(_AWKWARD) & b.rlike(_PLAIN_BASE)
     native = (F.when(h == "", b)
-               .when(root_rel, F.concat(origin, h))
-               .when(absolute, h))
+               .when(~plain, F.lit(None))
+               .when(h.rlike(r"^[a-z][a-z0-9+.-]*://[^/?#]"), h)
+               .when(scheme != "", F.when(~same, h))
+               .when(h.rlike("^//[^/?#]"), F.concat(part(b, _SCHEME, 1), F.lit(":"), h))
+               .when(h.startswith("//"), F.lit(None))
+               .when(h.startswith("?"), F.concat(origin, base_path, h))
+               .when(h.startswith("#"), F.concat(part(b, r"^([^#]*)", 1), h))
+               .otherwise(F.concat(origin, target, rest)))
     slow_needed = native.isNull() & b.isNotNull() & h.isNotNull()
     slow = _urljoin(F.when(slow_needed, b), F.when(slow_needed, h))
     return F.coalesce(native, slow)

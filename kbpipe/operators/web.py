@@ -103,19 +103,23 @@ def crawl_records(fetched: DataFrame, decoded_text: DataFrame | None = None) ->
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple = ()) -> DataFrame:
     """``(page_id, link_no, link)``: every anchor href resolved against the
-    page URL, in document order, duplicates kept; ``keep`` names columns of
-    the pages to carry along."""
+    page URL, in document order, duplicates kept (NULL where the href is no
+    URL); ``keep`` names columns of the pages to carry along."""
     x = explode_rows(pages.withColumn("base", F.col(url)), H.hrefs(html), "link_no", "href",
                      "page_id", "base", *keep)
     return computed(x, link=U.join_url("base", "href")).select("page_id", "link_no", "link", "base", *keep)
 
 
+def on_site(link: str = "link", base: str = "base", site: str | None = None):
+    """Whether the link's authority (userinfo, host, port; case-sensitive)
+    equals that of the crawl's start URL ``site`` or, without one, of the
+    page's own URL (``base``)."""
+    return U.authority(link) == (U.authority(F.lit(site)) if site is not None else U.authority(base))
+
+
 def same_site(links: DataFrame, base: str = "base", site: str | None = None) -> DataFrame:
-    """Links whose authority (userinfo, host, port; case-sensitive) equals
-    that of the crawl's start URL ``site`` or, without one, of each page's
-    own URL (``base``)."""
-    ref = U.authority(F.lit(site)) if site is not None else U.authority(base)
-    return links.where(U.authority("link") == ref)
+    """Links that are ``on_site``."""
+    return links.where(on_site(base=base, site=site))
 
 
 def frontier(links: DataFrame, visited: DataFrame) -> DataFrame:

@@ -155,6 +155,59 @@ SAME_SITE = sub(f"SELECT * FROM {LINKS} WHERE regexp_extract(link, {lit(AUTH)},
                 f"regexp_extract(base, {lit(AUTH)}, 1)")
 
 
+# main content of the derived pages: a recursive walk over the structure tags
+_TAGS = r"(?i)</?(?:main|article|body|nav|footer|header|html|div|section|aside)(?:[\s/][^>]*)?>"
+NESTED_TEXT = f"""
+WITH RECURSIVE p AS (SELECT page_id, {inert('html')} AS h FROM {sub(fx.MIXED_PAGES.format(pages='pages'))}),
+t AS (SELECT page_id, regexp_split_to_array(h, {lit(_TAGS)}) AS pieces,
+             list_transform(regexp_extract_all(h, {lit(_TAGS)}), lambda x: CASE
+               WHEN ends_with(x, '/>') AND NOT starts_with(x, '</') THEN 'none'
+               ELSE lower(regexp_extract(x, '^<(/?[A-Za-z]+)', 1)) END) AS tags FROM p),
+c AS (SELECT page_id, pieces, tags, CASE WHEN list_contains(tags, 'main') THEN list_position(tags, 'main')
+             WHEN list_contains(tags, 'article') THEN list_position(tags, 'article')
+             WHEN list_contains(tags, 'body') THEN list_position(tags, 'body') END AS opened FROM t),
+w AS (
+  SELECT page_id, 0 AS i, CAST([] AS STRUCT(tag VARCHAR, no INT)[]) AS stack FROM c WHERE opened IS NOT NULL
+  UNION ALL
+  SELECT w.page_id, w.i + 1,
+         CASE WHEN tag = 'none' THEN stack
+              WHEN NOT starts_with(tag, '/') THEN list_append(stack, {{'tag': tag, 'no': w.i + 1}})
+              WHEN NOT list_contains(list_transform(stack, lambda x: x.tag), substr(tag, 2)) THEN stack
+              ELSE list_filter(stack, lambda x: x.no < list_max(list_transform(
+                     list_filter(stack, lambda y: y.tag = substr(tag, 2)), lambda y: y.no))) END
+  FROM (SELECT w.*, c.tags[w.i + 1] AS tag FROM w JOIN c ON c.page_id = w.page_id WHERE w.i < len(c.tags)) w),
+k AS (SELECT w.page_id, w.i, CASE
+        WHEN list_contains(list_transform(stack, lambda x: x.no), opened)
+         AND len(list_filter(stack, lambda x: x.no > opened AND x.tag IN ('nav', 'footer', 'header'))) = 0
+        THEN c.pieces[w.i + 1] ELSE '' END AS piece FROM w JOIN c ON c.page_id = w.page_id),
+j AS (SELECT page_id, string_agg(piece, ' ' ORDER BY i) AS h FROM k GROUP BY page_id)
+SELECT page_id, trim({rr(entities(rr('h', r"<[A-Za-z/!?][^>]*>", " ")), S + '+', ' ')}) AS text FROM j"""
+
+# links of the derived pages, resolved segment by segment
+MIXED_LINKS = sub(f"""
+WITH h AS (SELECT page_id, url AS base, regexp_extract_all({inert('html')}, {lit(ANCHOR)}, 1) AS hs
+           FROM {sub(fx.MIXED_PAGES.format(pages='pages'))}),
+x AS (SELECT page_id, base, unnest(range(len(hs))) AS link_no, unnest(hs) AS raw FROM h),
+y AS (SELECT page_id, base, link_no, {entities("substr(raw, 2, length(raw) - 2)")} AS href FROM x),
+z AS (SELECT *, regexp_extract(base, {lit(ORIGIN)}, 1) AS origin, regexp_extract(href, '^([^?#]*)', 1) AS path,
+             regexp_extract(href, '^[^?#]*(.*)$', 1) AS rest,
+             regexp_extract(base, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS bpath FROM y),
+s AS (SELECT *, CASE WHEN starts_with(path, '/') THEN string_split(path, '/')
+                     ELSE list_concat([''], list_filter(string_split(regexp_replace(bpath, '[^/]*$', '') || regexp_replace(path, '/$', ''), '/'), lambda v: v <> ''),
+                                      CASE WHEN ends_with(path, '/') THEN [''] ELSE [] END) END AS segs FROM z),
+r AS (SELECT *, list_reduce(list_transform(segs, lambda v: [v]), lambda a, v:
+               CASE v[1] WHEN '.' THEN a WHEN '..' THEN a[:-2] ELSE list_concat(a, v) END) AS kept FROM s)
+SELECT page_id, CAST(link_no AS BIGINT) AS link_no, base, CASE
+  WHEN href = '' THEN base
+  WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href
+  WHEN starts_with(href, '//') THEN regexp_extract(base, '^([a-z]+:)', 1) || href
+  WHEN starts_with(href, '?') THEN origin || bpath || href
+  WHEN starts_with(href, '#') THEN regexp_replace(base, '#.*', '') || href
+  ELSE origin || '/' || ltrim(array_to_string(kept, '/') ||
+       CASE WHEN segs[-1] IN ('.', '..') THEN '/' ELSE '' END, '/') || rest END AS link
+FROM r""")
+
+
 def tokens_weights(src: str, key: str, text: str) -> str:
     """Sparse hashed embedding: ``(key, bucket, w)`` with float32 weights."""
     return sub(f"""
@@ -252,6 +305,12 @@ FROM ok JOIN ({fx.DECODED_TEXT.format(fetched=FP)}) d ON d.page_id = ok.page_id
 WHERE fmt IN ('pdf', 'docx', 'xlsx') AND d.text <> ''"""
     o["html_main_text"] = (f"SELECT page_id, text FROM (SELECT page_id, {main_text('html')} AS text "
                            f"FROM pages) WHERE text IS NOT NULL")
+    o["html_nested_text"] = NESTED_TEXT
+    o["mixed_links"] = (f"SELECT page_id, link_no, link, regexp_extract(link, {lit(AUTH)}, 1) = "
+                        f"regexp_extract(base, {lit(AUTH)}, 1) AS on_site FROM {MIXED_LINKS}")
+    o["same_site_mixed"] = (f"SELECT page_id, count(*) AS n_links, count(DISTINCT link) AS n_distinct "
+                            f"FROM {MIXED_LINKS} WHERE regexp_extract(link, {lit(AUTH)}, 1) = "
+                            f"regexp_extract(base, {lit(AUTH)}, 1) GROUP BY page_id")
     o["collapse_ws"] = f"SELECT doc_id, trim({rr('text', S + '+', ' ')}) AS text FROM documents"
     o["url_rewrite"] = f"""
 SELECT id, url, CASE WHEN contains(url, 'github.com') AND contains(url, '/blob/')

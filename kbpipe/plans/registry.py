@@ -95,6 +95,12 @@ def html_main_text(spark, sf):
     return Wb.main_text_rows(spread(Tables(spark, sf).pages), "page_id")
 
 
+@query
+def html_nested_text(spark, sf):
+    """Main content of pages whose markup nests, stays open or has no container."""
+    return Wb.main_text_rows(Fixtures(spark, sf).mixed_pages(), "page_id")
+
+
 @query
 def collapse_ws(spark, sf):
     d = spread(Tables(spark, sf).documents)
@@ -119,6 +125,21 @@ def same_site_links(spark, sf):
     return links.select("page_id", "link_no", "link")
 
 
+@query
+def mixed_links(spark, sf):
+    """Relative, scheme-relative, foreign and other-scheme links, with
+    whether each stays on its page's site."""
+    links = Wb.page_links(Fixtures(spark, sf).mixed_pages())
+    return links.select("page_id", "link_no", "link", Wb.on_site().alias("on_site"))
+
+
+@query
+def same_site_mixed(spark, sf):
+    links = Wb.same_site(Wb.page_links(Fixtures(spark, sf).mixed_pages()))
+    return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"),
+                                        F.countDistinct("link").alias("n_distinct"))
+
+
 @query
 def frontier(spark, sf):
     pages = Tables(spark, sf).pages

@@ -103,6 +103,32 @@ SELECT doc_id AS id,
 FROM {documents}
 """
 
+# pages whose markup nests, stays open, uses other containers or none; every
+# one has links that are relative, foreign, without a host or of another scheme
+MIXED_PAGES = """
+WITH p AS (
+  SELECT page_id, url,
+         replace(html, '<article>',
+                 '<article><a href="../up/' || CAST(page_id AS STRING) || '?q=1&amp;r=2#t">u</a>' ||
+                 '<a href="//cdn.example.net/x/../y">c</a><a href="./a/./b//c/">d</a>' ||
+                 '<a href="https://other.example.org/z">o</a><a href="?page=2">n</a><a href="#top">t</a>' ||
+                 '<a href="mailto:desk@example.org">m</a><a href="sub/../../../x/..">x</a>' ||
+                 '<a href="/k/./l/../' || CAST(page_id % 7 AS STRING) || '">k</a>') AS html
+  FROM {pages})
+SELECT page_id, url, CASE page_id % 8
+  WHEN 0 THEN replace(html, '<article>', '<article><nav>Menu <NAV class="n">deep</NAV> still menu</nav>after ')
+  WHEN 1 THEN replace(replace(html, '<article>', '<article>Lead <article>'),
+                      '</article>', '</article> tail <nav/>kept</article> outside')
+  WHEN 2 THEN replace(html, '<article>', '<article><div><header>open <div>x</div> header</div></section>')
+  WHEN 3 THEN replace(html, '<article>', '<article>before <header>never closed ')
+  WHEN 4 THEN replace(replace(html, '<article>', '<article>no</article><nav><main id="m"><footer>f<footer>g</footer>h</footer>'),
+                      '</article>', '</main></nav>')
+  WHEN 5 THEN replace(replace(html, '<article>', '<section>'), '</article>', '</section>')
+  WHEN 6 THEN replace(replace(replace(replace(html, '<article>', '<p>'), '</article>', ''), '<body>', ''), '</body>', '')
+  ELSE replace(html, '</article>', '') END AS html
+FROM p
+"""
+
 CODE_URLS = """
 SELECT 'p' || CAST(page_id AS STRING) AS id, url FROM {pages}
 UNION ALL
@@ -190,6 +216,9 @@ class Fixtures:
     def robots_rules(self) -> DataFrame:
         return portable(self.spark, ROBOTS_RULES, pages=self.t.pages)
 
+    def mixed_pages(self) -> DataFrame:
+        return portable(self.spark, MIXED_PAGES, pages=spread(self.t.pages))
+
     def raw_bytes(self, with_html: bool = False) -> DataFrame:
         html = ", html" if with_html else ""
         return portable(self.spark,

@@ -22,7 +22,7 @@ def executed(spark, name):
     ("discovered_names", 10, 4),
     ("chunk_min_length", 20, 10),       # whole-document name pass + chunk pass
     ("chunk_paragraphs_parity", 11, 6),
-    ("html_main_text", 8, 1),           # the numeric entities
+    ("html_main_text", 5, 2),           # the numeric entities
     ("page_links", 3, 2),
 ])
 def test_each_regex_stage_once(spark, name, max_replace, max_extract):

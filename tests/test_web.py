@@ -52,6 +52,37 @@ def test_unclosed_body_runs_to_end(spark):
     assert text_of(spark, "<html><body><p>cut off") == "cut off"
 
 
+def test_blocks_nest_and_end_with_the_element_around_them(spark):
+    cases = {
+        "<body><nav>a<nav>b</nav>c</nav>d</body>e": "d",
+        "<article>x<article>y</article>z</article>w": "x y z",
+        "<article><div><header>H</div>t</article>": "t",
+        "<article>a<header>never closed</article><p>b": "a",
+        "<nav><main>kept</main></nav><article>no</article>": "kept",
+        "</nav><BODY class='q'>t</header>u<nav/>v</body>": "t u v",
+        "<body>a<footer>b": "a",
+        "<main/><article>k": "k",
+        "<div><article>a</div>b": "a",
+        "": None,
+    }
+    df = spark.createDataFrame([(h,) for h in cases] + [(None,)], "html string")
+    got = {r["html"]: r["t"] for r in df.select("html", H.main_text("html").alias("t")).collect()}
+    assert got == cases | {None: None}
+
+
+def test_deep_nesting_is_no_recursion(spark):
+    html = "<body>" + "<div><nav>x</nav>y " * 3000 + "</div>" * 3000 + "z"
+    assert text_of(spark, html) == "y " * 3000 + "z"
+
+
+def test_link_that_is_no_url_is_null_and_leaves_the_site(spark):
+    df = spark.createDataFrame([(1, "https://x.org/", '<a href="//[bad">1</a><a href="ok">2</a>')],
+                               "page_id bigint, url string, html string")
+    links = Wb.page_links(df)
+    assert [r["link"] for r in links.orderBy("link_no").collect()] == [None, "https://x.org/ok"]
+    assert [r["link"] for r in Wb.same_site(links).collect()] == ["https://x.org/ok"]
+
+
 def pages_df(spark, rows):
     return spark.createDataFrame(rows, "page_id bigint, url string, status int, content_type string")
 
