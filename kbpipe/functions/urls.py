@@ -66,38 +66,45 @@ def _without_dots(path: Column) -> Column:
     return F.when(done.startswith("/"), done).otherwise(F.concat(F.lit("/"), done))
 
 
-def join_url(base, href) -> Column:
-    """``urljoin(base, href)``; NULL where either is NULL or no URL.
-
-    Resolved natively against an ``http(s)`` base: empty, absolute and
-    scheme-relative references, other schemes (``mailto:``), a query or
-    fragment alone, and absolute or relative paths with dot segments. What is
-    left (parameters, empty queries or fragments, blanks, brackets, a base of
-    another kind) goes through a vectorised standard-library join.
+def join_native(base, href) -> Column:
+    """``urljoin(base, href)`` where column expressions can tell, else NULL.
+
+    Resolved against an ``http(s)`` base: empty, absolute and scheme-relative
+    references, other schemes (``mailto:``), a query or fragment alone, and
+    absolute or relative paths with dot segments.
     """
     b, h = col_of(base), col_of(href)
     part = F.regexp_extract
     origin, base_path = part(b, rx.URL_SCHEME_AUTHORITY, 1), part(b, r"^https?://[^/?#]*([^?#]*)", 1)
+    folder = part(b, r"^https?://[^/?#]*([^?#]*/|)", 1)
     scheme, path, rest = part(h, _SCHEME, 1), part(h, r"^([^?#]*)", 1), part(h, r"^[^?#]*(.*)$", 1)
     # segments of a relative path follow the base's folder; empty ones vanish
-    beside = F.regexp_replace(F.concat(F.regexp_replace(base_path, "[^/]*$", ""), F.lit("/"), path), "/+", "/")
+    segments = F.filter(F.split(F.concat(folder, F.lit("/"), path), "/", -1), lambda x: x != "")
+    beside = F.concat(F.lit("/"), F.array_join(segments, "/"), F.when(path.endswith("/"), "/").otherwise(""))
     target = F.when(path.startswith("/"), path).otherwise(beside)
-    target = F.when(path.rlike(_DOT_SEGMENT) | base_path.rlike(_DOT_SEGMENT) & ~path.startswith("/"),
-                    _without_dots(target)).otherwise(target)
+    # the element of a one-element array: the path is put together once
+    target = F.transform(F.array(target), lambda t: F.when(
+        t.rlike(_DOT_SEGMENT), _without_dots(t)).otherwise(t))[0]
     same = F.lower(scheme) == F.lower(part(b, _SCHEME, 1))
     plain = ~h.rlike(_AWKWARD) & b.rlike(_PLAIN_BASE)
-    native = (F.when(h == "", b)
-               .when(~plain, F.lit(None))
-               .when(h.rlike(r"^[a-z][a-z0-9+.-]*://[^/?#]"), h)
-               .when(scheme != "", F.when(~same, h))
-               .when(h.rlike("^//[^/?#]"), F.concat(part(b, _SCHEME, 1), F.lit(":"), h))
-               .when(h.startswith("//"), F.lit(None))
-               .when(h.startswith("?"), F.concat(origin, base_path, h))
-               .when(h.startswith("#"), F.concat(part(b, r"^([^#]*)", 1), h))
-               .otherwise(F.concat(origin, target, rest)))
-    slow_needed = native.isNull() & b.isNotNull() & h.isNotNull()
-    slow = _urljoin(F.when(slow_needed, b), F.when(slow_needed, h))
-    return F.coalesce(native, slow)
+    return (F.when(h == "", b)
+             .when(~plain, F.lit(None))
+             .when(h.rlike(r"^[a-z][a-z0-9+.-]*://[^/?#]"), h)
+             .when(scheme != "", F.when(~same, h))
+             .when(h.rlike("^//[^/?#]"), F.concat(part(b, _SCHEME, 1), F.lit(":"), h))
+             .when(h.startswith("//"), F.lit(None))
+             .when(h.startswith("?"), F.concat(origin, base_path, h))
+             .when(h.startswith("#"), F.concat(part(b, r"^([^#]*)", 1), h))
+             .otherwise(F.concat(origin, target, rest)))
+
+
+def join_rest(native, base, href) -> Column:
+    """``native`` (of ``join_native``), or where it is NULL the vectorised
+    standard-library join: parameters, empty queries or fragments, blanks,
+    brackets, a base of another kind. NULL where the href is no URL. Other
+    rows pass the join NULLs."""
+    n, b, h = col_of(native), col_of(base), col_of(href)
+    return F.coalesce(n, _urljoin(F.when(n.isNull(), b), F.when(n.isNull(), h)))
 
 
 # ---------------------------------------------------------------------------

@@ -107,7 +107,8 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html", keep: tup
     URL); ``keep`` names columns of the pages to carry along."""
     x = explode_rows(pages.withColumn("base", F.col(url)), H.hrefs(html), "link_no", "href",
                      "page_id", "base", *keep)
-    return computed(x, link=U.join_url("base", "href")).select("page_id", "link_no", "link", "base", *keep)
+    x = computed(x, _native=U.join_native("base", "href"))
+    return computed(x, link=U.join_rest("_native", "base", "href")).select("page_id", "link_no", "link", "base", *keep)
 
 
 def on_site(link: str = "link", base: str = "base", site: str | None = None):

@@ -154,9 +154,10 @@ BASES = ["https://x.org/dir/page", "https://x.org/dir/", "http://u@x.org:8080/a/
                 min_size=1, max_size=60))
 def test_url_join_matches_urllib(spark, pairs):
     import urllib.parse
-    from kbpipe.functions.urls import join_url
+    from kbpipe.functions.urls import join_native, join_rest
     df = spark.createDataFrame([(i, b, h) for i, (b, h) in enumerate(pairs)], "i int, b string, h string")
-    got = {r["i"]: r["j"] for r in df.select("i", join_url("b", "h").alias("j")).collect()}
+    got = {r["i"]: r["j"] for r in df.withColumn("n", join_native("b", "h"))
+           .select("i", join_rest("n", "b", "h").alias("j")).collect()}
     for i, (b, h) in enumerate(pairs):
         try:
             want = urllib.parse.urljoin(b, h)
