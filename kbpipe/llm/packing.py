@@ -6,7 +6,9 @@ by best-fit decreasing, and dual-feasible functions give a lower bound on the
 sequences it needs: a group that meets its bound is certified and final.
 Groups with a gap hand the documents of their worst-filled sequences to a
 common pool; the pool is dealt anew and packed again, and a new group's
-packing replaces the old sequences only if it needs fewer. Only (id, length)
+packing replaces the old sequences only if it needs fewer. Exchanges go on
+until ``IDLE_ROUNDS`` in a row save no sequence; ``certificate`` reports what is left
+between the packing and the lower bound of the whole table. Only (id, length)
 rows travel; texts are read and tokenised once.
 """
 
@@ -27,7 +29,7 @@ from kbpipe.llm.common import Scratch, arrow_map, texts
 CAPACITY = 2048
 END_ID = 0
 GROUP_PIECES = 16384     # pieces packed together in one task, on average
-ROUNDS = 3               # exchanges between groups with gaps
+IDLE_ROUNDS = 3          # exchanges in a row that may save no sequence
 TOKENIZER = "byte_bpe_50k"
 
 PIECE = "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -113,11 +115,14 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> np.nda
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """Bins that any packing needs: the best of two families of dual-feasible
-    functions (total size after rounding, over the capacity)."""
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1)
+    """Bins that any packing of these lengths needs."""
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity) if len(lengths) else 0
+
+
+def bound_of_counts(count: np.ndarray, capacity: int = CAPACITY) -> int:
+    """Bins that any packing needs of ``count[n]`` items of every length n:
+    the best of two families of dual-feasible functions (total size after
+    rounding, over the capacity)."""
     x = np.arange(capacity + 1)
     best = math.ceil((count * x).sum() / capacity)
     # items over capacity - k count as full, items under k as nothing
@@ -181,10 +186,14 @@ def _pack(df: DataFrame, capacity: int, again: bool) -> DataFrame:
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER,
-         group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
+         group_pieces: int = GROUP_PIECES, rounds: int | None = None) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of
     every piece; sequences have at most ``capacity`` tokens.
 
+    Groups with a gap exchange documents until none is left, one group holds
+    them all, or ``IDLE_ROUNDS`` exchanges in a row save no sequence
+    (``rounds``: or after so many).
+
     Defined cases: NULL and empty texts are the one id 0; NULL and repeated
     ids are packed like others, row by row; other columns are ignored; an
     empty table gives an empty one.
@@ -200,16 +209,40 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER,
     groups = max(1, math.ceil(n / group_pieces))
     packed = scratch.write(_pack(short.select(
         *cols, F.pmod(F.xxhash64("uid"), F.lit(groups)).alias("grp")), capacity, False))
-    done = full
-    for r in range(rounds):
-        n_loose = packed.where("loose").count()
+    done, r, idle = full, 0, 0
+    while r != rounds and idle < IDLE_ROUNDS:
+        loose = packed.where("loose")
+        n_loose, sequences = loose.agg(F.count("uid"), F.count_distinct("sequence_id")).first()
         # alone, a group would only repeat the packing that it has
         if not n_loose or groups == 1:
             break
         done = done.unionByName(packed.where("not loose").drop("loose"))
         groups = max(1, math.ceil(n_loose / group_pieces))
         # whole sequences move, so that old and new packings can be compared
-        packed = scratch.write(_pack(packed.where("loose").select(
+        packed = scratch.write(_pack(loose.select(
             *cols, "sequence_id", F.pmod(F.xxhash64("sequence_id", F.lit(r)), F.lit(groups)).alias("grp")),
             capacity, True))
+        r += 1
+        idle = idle + 1 if packed.select("sequence_id").distinct().count() >= sequences else 0
     return done.unionByName(packed.drop("loose")).drop("uid")
+
+
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row ``n_pieces, n_sequences, lower_bound, gap``: a gap of 0 proves
+    that no packing of these pieces needs fewer sequences. The bound rests on
+    the number of pieces of each length, at most ``capacity`` rows; an empty
+    table has zeros."""
+    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
+        count = np.zeros(capacity + 1, np.int64)
+        count[pdf["length"]] = pdf["n"]
+        return pd.DataFrame({"n_pieces": [int(count.sum())], "lower_bound": [bound_of_counts(count, capacity)]})
+
+    lengths = packed.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    # a length without pieces: the one group exists for an empty table too
+    none = packed.sparkSession.range(1).selectExpr("0L AS length", "0L AS n")
+    bounds = lengths.unionByName(none).groupBy(F.lit(0).alias("grp")).applyInPandas(
+        lambda pdf: bound(pdf[["length", "n"]].groupby("length", as_index=False).sum()),
+        "n_pieces bigint, lower_bound bigint")
+    used = packed.select(F.count_distinct("sequence_id")).scalar()
+    return bounds.withColumn("n_sequences", used).select(
+        "n_pieces", "n_sequences", "lower_bound", (F.col("n_sequences") - F.col("lower_bound")).alias("gap"))

@@ -335,8 +335,22 @@ def test_packing_edge(spark, edge, edge_rows):
 def test_exchange_between_groups_never_costs_a_sequence(spark, sf):
     texts = [(r.doc_id, r.text) for r in docs(spark, sf).collect()]
     d = docs(spark, sf)
-    n = [check_packing(packing.pack(d, group_pieces=4, rounds=r).collect(), texts) for r in (0, 3)]
-    assert n[1] <= n[0]
+    n = [check_packing(packing.pack(d, group_pieces=4, rounds=r).collect(), texts)
+         for r in (0, 3, None)]
+    assert n[2] <= n[1] <= n[0]
+
+
+def test_certificate_reports_bound_and_gap(spark, sf):
+    packed = packing.pack(docs(spark, sf))
+    rows = packed.collect()
+    lengths = np.array([r.length for r in rows])
+    bins = len({r.sequence_id for r in rows})
+    bound = packing.lower_bound(lengths)
+    assert packing.certificate(packed).collect() == [(len(rows), bins, bound, bins - bound)]
+    # two pieces of 60 never share a sequence of 100; a third sequence is one too many
+    loose = spark.createDataFrame([(60, 1), (60, 2), (40, 3)], "length bigint, sequence_id bigint")
+    assert tuple(packing.certificate(loose, 100).first()) == (3, 3, 2, 1)
+    assert tuple(packing.certificate(loose.limit(0), 100).first()) == (0, 0, 0, 0)
 
 
 def test_groups_over_their_bound_hand_on_their_worst_bins():
