@@ -161,3 +161,43 @@ def contamination(text, items):
                 ids.add(str(item) if item is not None else "")
     return (len(ws), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(),
             len(hit) > 0 and 20 * len(hit) >= len(ws))
+
+
+def ngram_vector(text, dim):
+    """Square-rooted, length-1 counts of hashed 1- to 3-byte grams, gram by gram."""
+    low = text.encode().lower()
+    counts = [0] * dim
+    for n, mult in ((1, 40503), (2, 2654435761), (3, 2246822519)):
+        for i in range(len(low) - n + 1):
+            code = sum(byte << 8 * (n - 1 - k) for k, byte in enumerate(low[i:i + n]))
+            counts[((code * mult + n) % 2 ** 32 >> 16) % dim] += 1
+    size = math.sqrt(sum(counts))
+    return [math.sqrt(c) / size if size else 0.0 for c in counts]
+
+
+def language(text, model):
+    """(language, score) by the model's weights: the family that scores best,
+    then one vote per pair of its languages, margins deciding ties."""
+    x = [*ngram_vector(text, model.dim), 1.0]
+
+    def dot(w):
+        return sum(float(a) * b for a, b in zip(w, x))
+
+    def squash(v):
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, v))))
+
+    scored = [(dot(w), f) for w, f in zip(model.family_w, model.families)]
+    top, family = max(scored, key=lambda s: s[0])
+    sure = 1.0 if len(scored) == 1 else squash(4 * top)
+    langs = [v for v in model.langs if v in model.members[family]]
+    if len(langs) == 1:
+        return langs[0], sure
+    votes, margins = {v: 0 for v in langs}, {v: 0.0 for v in langs}
+    for i, a in enumerate(langs):
+        for b in langs[i + 1:]:
+            m = dot(model.pair_w[a, b])
+            votes[a if m >= 0 else b] += 1
+            margins[a] += m
+            margins[b] -= m
+    best = sorted(langs, key=lambda v: (-votes[v], -margins[v], v))[0]
+    return best, sure * squash(4 * margins[best] / (len(langs) - 1))

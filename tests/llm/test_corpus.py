@@ -262,6 +262,33 @@ def test_languages_edge(spark, edge, edge_rows):
     assert {r.lang_pred for r in langid.identify(edge, None).collect()} == {"und"}
 
 
+def test_languages_match_a_version_written_as_loops(spark, sf):
+    model = langid.fit(docs(spark, sf))
+    assert any(len(m) > 2 for m in model.members.values()) or model.pair_w
+    text = {r.doc_id: r.text for r in docs(spark, sf).collect()}
+    for r in queries.op8_language_id(spark, sf).collect():
+        t = text[r.doc_id]
+        want = brute.language(t, model) if t and any(ch.isalpha() for ch in t) else ("und", 0.0)
+        assert r.held_out == (crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert r.lang_pred == want[0] and abs(r.score - want[1]) < 1e-3, r.doc_id
+
+
+def test_svm_weights_leave_no_gradient():
+    # the fitted weights are a minimum of the stated objective
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(0, 1, (60, 4)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.where(x[:, 0] + 0.3 * rnd.normal(0, 1, 60) > 0, 1, -1).astype(np.float32)
+    w = langid.fit_svm(x, y, rounds=5000)
+
+    def loss(v):
+        z = np.hstack([x, np.ones((60, 1))])
+        share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+        return 0.5 * (v @ v) / (10.0 * 60) + float((share * np.maximum(0, 1 - y * (z @ v)) ** 2).sum())
+    best = loss(w.astype(np.float64))
+    assert all(loss(w + 0.01 * rnd.normal(0, 1, 5)) >= best - 1e-6 for _ in range(200))
+
+
 def test_training_sample_is_bounded_per_language(spark):
     rows = langid.training_rows(spark.range(3000).selectExpr(
         "id as doc_id", "'the same text' as text", "if(id % 100 = 0, 'fr', 'en') as lang"))
