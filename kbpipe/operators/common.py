@@ -70,3 +70,11 @@ def ordered_concat(df: DataFrame, key: str, order: str, text: str, sep: str,
     if count_out:
         aggs.append(F.sum("_n").alias(count_out))
     return parts.groupBy(key).agg(*aggs)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, below which no later anti join is moved. Catalyst moves one
+    under a distinct and a repartition, so that raw rows, a hot key's all in
+    one task, go through the join's shuffle instead of the distinct ones. A
+    condition that is always true but counts as nondeterministic stops it."""
+    return df.where(F.monotonically_increasing_id() >= 0)

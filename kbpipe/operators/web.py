@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kbpipe.functions import html as H
 from kbpipe.functions import urls as U
 from kbpipe.functions.text import col_of
-from kbpipe.operators.common import computed, explode_rows
+from kbpipe.operators.common import computed, explode_rows, settled
 
 # Document suffixes and the legacy placeholder text
 LEGACY_SUFFIXES = (".doc", ".xls")
@@ -125,8 +125,10 @@ def same_site(links: DataFrame, base: str = "base", site: str | None = None) ->
 
 def frontier(links: DataFrame, visited: DataFrame) -> DataFrame:
     """Distinct links not fetched yet. Dedup and the anti join both hash on
-    ``url``, so the anti join reuses the dedup's partitioning."""
-    cand = links.select(F.col("link").alias("url")).distinct()
+    ``url``, so the anti join reuses the dedup's partitioning; a link on every
+    page is one row a task before anything moves. For a visited side that
+    grows round by round see ``sources.visited``."""
+    cand = settled(links.select(F.col("link").alias("url")).distinct())
     return cand.join(visited.select("url").distinct(), "url", "left_anti")
 
 

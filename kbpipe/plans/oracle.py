@@ -420,6 +420,16 @@ FROM (SELECT doc_id, names, chunk_no, {strip('piece')} AS chunk FROM p) WHERE ch
                          f"FROM {redacted(crawled_pages)}")
     o["knowledge_append"] = f"SELECT id, text, source, type, CAST({DIM} AS BIGINT) AS n_dims FROM {POINTS}"
 
+    uploads = sub(f"SELECT * FROM ({fx.UPLOADS.format(documents='documents')}) WHERE ends_with(source, '.pdf')")
+    o["upload_flow"] = f"""
+WITH u AS MATERIALIZED (SELECT doc_id, source, text, _red FROM {redacted(uploads)}),
+c AS MATERIALIZED (SELECT * FROM {parity_chunks(uploads)})
+SELECT 'knowledge' AS sink, source, chunk AS text, CAST({DIM} AS BIGINT) AS n FROM c WHERE length(chunk) > 40
+UNION ALL SELECT 'backup', source, _red, NULL FROM u WHERE text IS NOT NULL
+UNION ALL SELECT 'counter', 'documents_redacted', NULL, CAST(count(*) AS BIGINT) FROM u WHERE text <> ''
+UNION ALL SELECT 'counter', 'chunks_processed', NULL, CAST(count(*) AS BIGINT) FROM c
+UNION ALL SELECT 'counter', 'chunks_indexed', NULL, CAST(count(*) AS BIGINT) FROM c WHERE length(chunk) > 40
+UNION ALL SELECT 'counter', 'rejected_vectors', NULL, CAST(0 AS BIGINT)"""
     o["ensure_collection"] = (f"SELECT CAST(1 AS BIGINT) AS attempt, true AS created, CAST(0 AS BIGINT) AS n_points "
                               f"UNION ALL SELECT CAST(2 AS BIGINT), false, CAST(count(*) AS BIGINT) FROM {POINTS}")
     o["knowledge_mixed"] = (f"SELECT text, source, CAST(4 * count(*) AS BIGINT) AS n_points, "
@@ -510,7 +520,8 @@ FROM p"""
     o["request_alarm_stream"] = f"SELECT *, CAST(1 AS BIGINT) AS n_raised FROM ({o['request_alert']})"
     o["counter_export_stream"] = o["counter_export"]
     o["budget_alert_stream"] = o["budget_alert"]
-    o["frontier_stream"] = o["frontier"]
+    o["frontier_stream"] = o["frontier_visited_table"] = o["frontier"]
+    o["log_retention_by_day"] = o["log_retention"]
     o["redacted_documents_sql"] = o["redact_documents"]
     good = "length(text) % 5"
     o["restore_stream"] = f"""

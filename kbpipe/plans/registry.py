@@ -6,6 +6,7 @@ Output columns are aliased to match the DuckDB oracles in ``oracle.py``.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ from kbpipe.plans.answer import answer_questions
 from kbpipe.plans import ingest as ingest_plan
 from kbpipe.plans.ingest import knowledge_points
 from kbpipe.session import scratch_path, spread
-from kbpipe.sources import backup, store
+from kbpipe.sources import backup, events, store, visited
 from kbpipe.sources.fixtures import Fixtures
 from kbpipe.sources.tables import Tables
 
@@ -147,6 +148,17 @@ def frontier(spark, sf):
     return Wb.frontier(links, pages.select("url"))
 
 
+@query
+def frontier_visited_table(spark, sf):
+    """The frontier against a stored table of visited urls that two rounds
+    have filled; the table's side is not shuffled."""
+    pages = Tables(spark, sf).pages
+    name, path = f"visited_{uuid.uuid4().hex[:12]}", scratch_path(spark, "visited")
+    for i in range(2):
+        visited.mark_visited(pages.where(F.col("page_id") % 2 == i), name, path)
+    return visited.new_urls(Wb.same_site(Wb.page_links(spread(pages))), name)
+
+
 @query
 def robots_audit(spark, sf):
     return Wb.robots_audit(Tables(spark, sf).pages, Fixtures(spark, sf).robots_rules())
@@ -369,12 +381,30 @@ def knowledge_append(spark, sf):
     return k.select("id", "text", "source", "type", F.size("vector").cast("bigint").alias("n_dims"))
 
 
+@query
+def upload_flow(spark, sf):
+    """Uploaded documents through the whole flow: the name check turns away
+    what is no ``.pdf``; the accepted ones are redacted once and reach both
+    sinks. Per sink its rows, and the run's counters as rows of their own."""
+    docs = Fixtures(spark, sf).uploads().where(A.upload_status("source") == 200)
+    table, folder = scratch_path(spark, "upload-kb"), scratch_path(spark, "upload-backup")
+    m = ingest_plan.ingest_documents(docs, table, folder, RUN_ID)
+    k = store.read_table(spark, table).select(
+        F.lit("knowledge").alias("sink"), "source", "text", F.size("vector").cast("bigint").alias("n"))
+    b = backup.restore_backup(spark, folder).select(
+        F.lit("backup").alias("sink"), "source", "text", F.lit(None).cast("bigint").alias("n"))
+    counters = ("documents_redacted", "chunks_processed", "chunks_indexed", "rejected_vectors")
+    c = spark.createDataFrame([("counter", x, None, int(m[x])) for x in counters],
+                              "sink string, source string, text string, n bigint")
+    return k.unionByName(b).unionByName(c)
+
+
 @query
 def ensure_collection(spark, sf):
     """Create the table, write points, create it again: nothing is lost."""
     path = scratch_path(spark, "collection")
     first = store.ensure_table(spark, path), store.read_table(spark, path).count()
-    store.append_points(knowledge_points(Tables(spark, sf).documents, RUN_ID, DEFAULT_DIM), path, DEFAULT_DIM, RUN_ID)
+    store.append_points(knowledge_points(Tables(spark, sf).documents, RUN_ID, DEFAULT_DIM), path, DEFAULT_DIM, run_id=RUN_ID)
     second = store.ensure_table(spark, path), store.read_table(spark, path).count()
     return spark.createDataFrame([(1, *first), (2, *second)], "attempt bigint, created boolean, n_points bigint")
 
@@ -389,7 +419,7 @@ def knowledge_mixed(spark, sf):
     src, path = scratch_path(spark, "docs-in"), scratch_path(spark, "kb-mixed")
     store.ensure_table(spark, path)
     for run in (RUN_ID, "run-1"):
-        store.append_points(knowledge_points(d, run, DEFAULT_DIM), path, DEFAULT_DIM, run)
+        store.append_points(knowledge_points(d, run, DEFAULT_DIM), path, DEFAULT_DIM, run_id=run)
     d.repartition(4).write.parquet(src)
     for name in ("a", "b"):
         start_ingest(spark, src, d.schema, path, scratch_path(spark, f"backup-{name}"),
@@ -506,6 +536,18 @@ def log_retention(spark, sf):
     return e.select("event_id", "event_type", M.fmt_ts(F.col("ts")).alias("ts"))
 
 
+@query
+def log_retention_by_day(spark, sf):
+    """Retention over events stored by day: old days expire as folders, the
+    rest is a pruned scan."""
+    e = Tables(spark, sf).events
+    path = scratch_path(spark, "events")
+    events.write_events(e, path)
+    events.expire(spark, path, e.schema, days=RETENTION_QUERY_DAYS)
+    kept = events.retained(spark, path, e.schema, days=RETENTION_QUERY_DAYS)
+    return kept.select("event_id", "event_type", M.fmt_ts(F.col("ts")).alias("ts"))
+
+
 @query
 def counter_export(spark, sf):
     return M.counter_export(Tables(spark, sf).events)
@@ -549,7 +591,7 @@ def restore_index(spark, sf):
     items = Tables(spark, sf).benchmark.select(
         F.concat(F.lit("item://"), F.col("item_id").cast("string")).alias("url"), "text")
     items.write.mode("append").option("maxRecordsPerFile", 1).json(folder)
-    store.append_points(ingest_plan.restore_points(spark, folder, RUN_ID, DEFAULT_DIM), path, DEFAULT_DIM, RUN_ID)
+    store.append_points(ingest_plan.restore_points(spark, folder, RUN_ID, DEFAULT_DIM), path, DEFAULT_DIM, run_id=RUN_ID)
     return store.read_table(spark, path).select("source", "text", "restored",
                                                 F.size("vector").cast("bigint").alias("n_dims"))
 

@@ -95,13 +95,10 @@ SELECT page_id, CASE WHEN page_id % 11 = 0 THEN '' ELSE 'Decoded text of ' || ur
 FROM {fetched}
 """
 
-UPLOAD_NAMES = """
-SELECT doc_id AS id,
-       'doc_' || CAST(doc_id AS STRING) ||
-       CASE doc_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' WHEN 2 THEN '.docx' ELSE '' END
-         AS filename
-FROM {documents}
-"""
+UPLOAD_NAME = ("'doc_' || CAST(doc_id AS STRING) || "
+               "CASE doc_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' WHEN 2 THEN '.docx' ELSE '' END")
+UPLOAD_NAMES = f"SELECT doc_id AS id, {UPLOAD_NAME} AS filename FROM {{documents}}"
+UPLOADS = f"SELECT doc_id, {UPLOAD_NAME} AS source, text FROM {{documents}}"
 
 # pages whose markup nests, stays open, uses other containers or none; every
 # one has links that are relative, foreign, without a host or of another scheme
@@ -232,6 +229,9 @@ class Fixtures:
     def upload_names(self) -> DataFrame:
         return portable(self.spark, UPLOAD_NAMES, documents=self.t.documents)
 
+    def uploads(self) -> DataFrame:
+        return portable(self.spark, UPLOADS, documents=self.t.documents)
+
     def code_urls(self) -> DataFrame:
         return portable(self.spark, CODE_URLS, pages=self.t.pages)
 

@@ -61,3 +61,11 @@ def test_filters_and_pruning_reach_the_scan(spark):
 def test_frontier_pre_aggregates_before_its_shuffle(spark):
     p = executed(spark, "frontier")
     assert p.count("HashAggregate(keys=[url") >= 2
+    # without a broadcast, too: the anti join must not slip under the distinct
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links_side = executed(spark, "frontier").split("SortMergeJoin")[1].split("Generate")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert links_side.count("HashAggregate(keys=[url") == 2 and links_side.count("Exchange") == 1
