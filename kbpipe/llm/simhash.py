@@ -10,12 +10,17 @@ A pair is looked at in exactly one bucket per segment.
 
 Large buckets (many different fingerprints around one segment value) are not
 compared in that task: their rows go on, unchanged, to a second table keyed
-by the ball of a 16-bit half of the other segment as well. Only a spanning set of the verified links leaves a bucket, never
-all pairs. Exact copies share a fingerprint and are grouped before all this.
+by the ball of a 16-bit half of the other segment as well, and large buckets of
+that one to a third, keyed by the ball of an 8-bit part of its other half too.
+A bucket of the third table has 8 free bits, so it can't hold more than
+33 * 17 * 9 * 256 (1.3 million) different fingerprints, whatever the table.
+Only a spanning set of the verified links leaves a bucket, never all pairs.
+Exact copies share a fingerprint and are grouped before all this.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -239,9 +244,19 @@ def _compare(level: int, max_bits: int, big: int | None):
     return run
 
 
-# Level 1: a segment of the fingerprint. Level 2: a half of the other segment.
-SEGMENTS = [(32, 32), (0, 32)]
-HALVES = {0: [(0, 16), (16, 16)], 1: [(32, 16), (48, 16)]}
+LEVELS = 3
+
+
+def parts_of(path: tuple[int, ...]) -> list[tuple[int, int]]:
+    """The two (shift, bits) that a level's key is taken from, given the part
+    numbers chosen at the levels above: the fingerprint's halves, then the
+    halves of the half not chosen, and so on. Two fingerprints that differ in
+    at most 4 bits differ in at most 2 of one of the two parts, at any level."""
+    shift, bits = 0, 64
+    for chosen in path:
+        bits //= 2
+        shift += bits * (1 - chosen)
+    return [(shift, bits // 2), (shift + bits // 2, bits // 2)]
 
 
 def links(fps: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS,
@@ -251,23 +266,29 @@ def links(fps: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS,
     ``max_bits`` (at most 4)."""
     if not 0 <= max_bits <= 4:
         raise ValueError("two segments with balls of radius 1 find distances of at most 4")
-    out1 = ", ".join(["src bigint", "dst bigint", "s1 bigint", "k1 bigint", "f1 bigint"])
-    one = (_enter(fps.select("fp"), [], SEGMENTS, 1)
-           .repartition("s1", "k1").sortWithinPartitions("s1", "k1")
-           .mapInArrow(_compare(1, max_bits, big), out1))
-    one = scratch.write(one)
-    rest = one.where("dst is null").select(F.col("src").alias("fp"), "s1", "k1", "f1")
-    found = one.where("dst is not null").select("src", "dst")
-    out2 = out1 + ", s2 bigint, k2 bigint, f2 bigint"
-    twice = None
-    for seg, halves in HALVES.items():
-        part = _enter(rest.where(F.col("s1") == seg), ["s1", "k1", "f1"], halves, 2)
-        twice = part if twice is None else twice.unionByName(part)
-    if rest.isEmpty():
-        return found
-    two = (twice.repartition("s1", "k1", "s2", "k2").sortWithinPartitions("s1", "k1", "s2", "k2")
-           .mapInArrow(_compare(2, max_bits, None), out2))
-    return found.unionByName(scratch.write(two.select("src", "dst")))
+    schema, keys, found = "src bigint, dst bigint", [], None
+    rest = fps.select("fp")
+    for level in range(1, LEVELS + 1):
+        entered = None
+        for path in itertools.product((0, 1), repeat=level - 1):
+            below = rest
+            for n, chosen in enumerate(path, 1):
+                below = below.where(F.col(f"s{n}") == chosen)
+            part = _enter(below, keys, parts_of(path), level)
+            entered = part if entered is None else entered.unionByName(part)
+        names = [f"{c}{level}" for c in "skf"]
+        keys = keys + names
+        schema += "".join(f", {c} bigint" for c in names)
+        bucket = [c for c in keys if c[0] != "f"]
+        limit = big if level < LEVELS else None
+        met = scratch.write(entered.repartition(*bucket).sortWithinPartitions(*bucket)
+                            .mapInArrow(_compare(level, max_bits, limit), schema))
+        near = met.where("dst is not null").select("src", "dst")
+        found = near if found is None else found.unionByName(near)
+        rest = met.where("dst is null").select(F.col("src").alias("fp"), *keys)
+        if limit is None or rest.isEmpty():
+            break
+    return found
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

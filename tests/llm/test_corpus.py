@@ -1,5 +1,6 @@
 """SimHash, language models, language identification, packing, tool calls, pipeline."""
 
+import itertools
 import json
 import math
 import random
@@ -78,6 +79,25 @@ def test_links_connect_what_brute_force_connects(spark, big):
     assert sorted(map(sorted, sets.values())) == sorted(map(sorted, got.values()))
 
 
+def test_levels_split_what_the_levels_above_left():
+    assert simhash.parts_of(()) == [(0, 32), (32, 32)]
+    assert simhash.parts_of((0,)) == [(32, 16), (48, 16)] and simhash.parts_of((1,)) == [(0, 16), (16, 16)]
+    assert simhash.parts_of((1, 0)) == [(16, 8), (24, 8)] and simhash.parts_of((0, 1)) == [(32, 8), (40, 8)]
+
+
+def test_a_dense_ball_is_one_component(spark):
+    """1,351 different fingerprints within 3 bits of one overflow the buckets
+    of the first two levels (at 64); one more stands alone, 8 bits away."""
+    base = 0x0123456789ABCDEF
+    free = [*range(10), *range(32, 42)]
+    fps = [base ^ sum(1 << b for b in c) for n in range(4) for c in itertools.combinations(free, n)]
+    far = base ^ (0xFF << 24)
+    df = spark.createDataFrame([(f,) for f in [*fps, far]], "fp bigint")
+    scratch = Scratch(spark, "t")
+    comp = dict(tuple(r) for r in simhash.components(simhash.links(df, scratch, big=64), scratch).collect())
+    assert len({comp[f] for f in fps}) == 1 and far not in comp
+
+
 def test_equal_value_pairs_are_looked_at_once():
     k = np.array([6] * 3, np.int64)
     assert simhash._meets_here(k, np.array([-1, 0, 0]), np.array([-1, 0, 1])).tolist() == [True, False, False]
