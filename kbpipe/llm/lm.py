@@ -181,8 +181,10 @@ class Top:
                 full_own, full_rate = np.full(256 << (8 * depth), 0.5), np.full(256 << (8 * depth), 0.5)
                 full_own[at], full_rate[at] = own, rate
                 own, rate = full_own, full_rate
-            self.own.insert(0, own.astype(np.float32))
-            self.rate.insert(0, rate.astype(np.float32))
+            # doubles: a rate of single precision is 1 after 2^24 equal bits, and
+            # the other bit then had probability zero or less
+            self.own.insert(0, own)
+            self.rate.insert(0, rate)
             if depth:
                 # the nearest byte is the highest: contexts lose their lowest byte
                 above = ((at >> 16) << 8) | (at & 255)

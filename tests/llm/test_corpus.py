@@ -207,6 +207,20 @@ def test_context_tree_matches_its_definition():
     assert sum(10 ** got[_code(b"abraca", b)] for b in range(256)) == pytest.approx(1, rel=1e-4)
 
 
+@pytest.mark.parametrize("n", [10 ** 6, 10 ** 8, 10 ** 10])
+def test_a_bit_that_training_never_saw_keeps_a_probability(n):
+    """Newlines only among the control bytes of a large corpus: a held-out
+    text with another one still has a finite score."""
+    seen = np.sort([_code(b"abcde" + bytes([c]), 10) for c in range(40, 110)])
+    new = _code(b"abcde" + bytes([50]), 1)
+    code, count = lm.summed([seen, np.array([new])], [np.full(len(seen), n // len(seen)), np.zeros(1, np.int64)])
+    tree = lm.Subtrees(code, count)
+    handed = [(lm._numbered(bit, name), *rest) for bit, (name, *rest) in enumerate(tree.handed)]
+    got = tree.log10(lm.Top(*(np.concatenate(x) for x in zip(*handed))))
+    assert np.isfinite(got).all() and (got <= 0).all()
+    assert got[code == new] == pytest.approx(math.log10(.5 / (n + 1)), abs=1.5)
+
+
 def test_scores_are_those_of_one_tree(spark):
     """Whole job against the slow tree, however chunks and parts are cut."""
     texts = ["abracadabra", "abraca dabra", None, "", "aaaa", "abracadabra abra"]
