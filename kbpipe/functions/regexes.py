@@ -15,6 +15,9 @@ S = (r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
      r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")   # whitespace
 BL = r"(?<![\p{L}\p{N}_])"                  # word boundary before a word char
 BR = r"(?![\p{L}\p{N}_])"                   # word boundary after a word char
+# stands first in a rule and only repeats what the rest demands, as one cheap
+# test where most positions fail (the classes above are slow to test)
+NOT_PRINTED = r"(?![!-~])"                  # no whitespace is printable ASCII
 # [A-Z] under case-insensitive matching also takes these four code points
 LETTER_CI = r"[A-Za-z\x{130}\x{131}\x{17f}\x{212a}]"
 
@@ -33,7 +36,7 @@ NAME_TOKEN = "[NAME_REDACTED]"
 _ADDRESS = r"[\p{L}\p{N}_.-]"
 EMAIL = rf"(?:(?<!{_ADDRESS})|\G){_ADDRESS}++@{_ADDRESS}+\.{W}++"
 PHONE = rf"(?:0|\+44){S}*{D}{{2,5}}{S}*{D}{{3,5}}{S}*{D}{{3,6}}"
-HEALTH_ID = rf"{BL}{D}{{3}}{S}*{D}{{3}}{S}*{D}{{4}}{BR}"
+HEALTH_ID = rf"(?={D}){BL}{D}{{3}}{S}*{D}{{3}}{S}*{D}{{4}}{BR}"
 REF_NUM = (rf"{BL}{LETTER_CI}{{2}}{S}*{D}{{2}}{S}*{D}{{2}}{S}*{D}{{2}}"
            rf"{S}*{LETTER_CI}{BR}")
 
@@ -56,12 +59,12 @@ CONTEXT_RAW_KEYWORDS = ["Subject:", "Coordinator:", "Contact:", "Dr."]
 # then the rest of the run) without backtracking. Single spaces are left as
 # they are, so only runs of two or more are rewritten.
 S_NO_NL = S[:-1] + r"&&[^\n]]"
-NEWLINE_RUN = rf"{S_NO_NL}*+\n{S}*+"
+NEWLINE_RUN = rf"{NOT_PRINTED}{S_NO_NL}*+\n{S}*+"
 SPACE_RUN = r" {2,}"
 
 # generic helpers
 WS_RUN = rf"{S}+"
-EDGE_WS = rf"^{S}+|{S}+$"
+EDGE_WS = rf"{NOT_PRINTED}(?:^{S}+|{S}+$)"
 
 # ---------------------------------------------------------------------------
 # HTML (main-content extraction and links)

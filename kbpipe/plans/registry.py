@@ -25,7 +25,7 @@ from kbpipe.operators.common import explode_rows
 from kbpipe.plans.answer import answer_questions
 from kbpipe.plans import ingest as ingest_plan
 from kbpipe.plans.ingest import knowledge_points
-from kbpipe.session import scratch_path, spread
+from kbpipe.session import deal, scratch_path, spread
 from kbpipe.sources import backup, events, store, visited
 from kbpipe.sources.fixtures import Fixtures
 from kbpipe.sources.tables import Tables
@@ -275,7 +275,7 @@ def _chunk_input(spark, sf) -> DataFrame:
     f = Fixtures(spark, sf)
     p = f.paragraph_docs().select(_key("d", "doc_id").alias("doc_id"), "text")
     n = f.case_notes().select(_key("n", "note_id").alias("doc_id"), "text")
-    return spread(p.unionByName(n))
+    return deal(p.unionByName(n))
 
 
 @query

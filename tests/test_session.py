@@ -22,3 +22,20 @@ def test_checkpoint_root_and_materialize(spark):
     m = S.materialize(df, "t")
     assert sorted(r["id"] for r in m.collect()) == [0, 1, 2, 3, 4]
     assert S.scratch_path(spark, "x").startswith(root + "/x-")
+
+
+def test_text_work_is_dealt_over_all_cores(spark, sf):
+    """The redaction chain's input, however few its files are."""
+    from kbpipe.plans import ingest, registry
+    name = "spark.kbpipe.spreadPartitions"
+    given = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    try:
+        want = 4 * spark.sparkContext.defaultParallelism
+        assert registry._chunk_input(spark, sf).rdd.getNumPartitions() == want
+        one = spark.createDataFrame([(1, "s", "a text that is long enough to be a chunk of its own")],
+                                    "doc_id bigint, source string, text string").coalesce(1)
+        assert ingest.knowledge_points(one, "r", 8).rdd.getNumPartitions() == want
+    finally:
+        if given:
+            spark.conf.set(name, given)
