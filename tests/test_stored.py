@@ -1,13 +1,14 @@
 """Stored tables that plans lean on: visited urls by bucket, events by day."""
 
 import datetime as dt
+import time
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from kbpipe.operators import metrics as M
-from kbpipe.sources import events, visited
+from kbpipe.sources import events, store, visited
 from kbpipe.sources.tables import Tables
 
 
@@ -80,3 +81,43 @@ def test_retention_edges(spark, tmp_path):
     # an earlier day arriving late is kept or expired by the same rule
     events.write_events(spark.createDataFrame([(6, top - dt.timedelta(days=1))], schema), path)
     assert events.retained(spark, path, df.schema, days=2).where(F.col("event_id") == 6).count() == 1
+
+
+def files_under(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*") if p.is_file()) if folder.exists() else 0
+
+
+def test_writes_leave_no_shuffle_files(spark, tmp_path):
+    """Nor does a scratch table stay, and the session's setting does."""
+    from pathlib import Path
+
+    from kbpipe.session import SHUFFLE_CLEANUP, checkpoint_root, scratch_table
+    local = [Path(x) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager()
+             .diskBlockManager().localDirsString()]
+    names = lambda: {p.name for d in local for p in d.rglob("shuffle_*.data")}
+    df = spark.range(20000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    set_to = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    df.repartition(7).write.parquet(str(tmp_path / "plain"))
+    before = names()
+    assert before or set_to == "true"           # what stays of a plain write
+    store.write_run(df.repartition(7), str(tmp_path / "t"), "r")
+    with scratch_table(df.repartition(7), "scratch-test") as t:
+        assert t.count() == 20000
+        scratch = [p for p in Path(checkpoint_root(spark)).glob("scratch-test-*")]
+        assert len(scratch) == 1
+    time.sleep(3)                               # files go in the background
+    left = {n.split("_")[1] for n in names() - before}
+    assert not scratch[0].exists() and len(left) <= 1        # the count's own shuffle
+    assert spark.conf.get(SHUFFLE_CLEANUP, "false") == set_to
+
+
+def test_point_counts_by_digest(spark):
+    """As grouped by text and source; no text passes more than one shuffle."""
+    from kbpipe.plans.registry import _point_counts
+    p = spark.createDataFrame([("a", "t", "s"), ("a", "t", "s"), ("b", "t", "s"), ("c", "t", None), ("d", None, "s"),
+                               ("e", "", "s"), ("f", None, None)], "id string, text string, source string")
+    got = sorted(map(tuple, _point_counts(p).collect()), key=str)
+    want = p.groupBy("text", "source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("m"))
+    assert got == sorted(map(tuple, want.collect()), key=str)
+    plan = _point_counts(p)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "text#" in x.split("Exchange")[1]]
